@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.llm import formatting_copies as fc
-from papyrine.llm import leaked_items, shared_spans
+from papyrine.llm import leaked_items, mixing, shared_spans, splitting
+from papyrine.operators.dedup import latest_by_key
 
 LISTS = ("points_forts", "suggestions_complement_sur_formation", "elements_les_plus_utiles")
 
@@ -42,5 +43,28 @@ def p10_shared_part(spark: SparkSession, sf: str) -> DataFrame:
     return shared_spans.shared_part(shared_spans.shared_windows(docs, "doc_id", "text"), docs, "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p8_found, p8_items, p10_found, p10_shared_part)}
+def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    reports = latest_by_key(table(spark, sf, "report_text").select("report_id", "pages", "full_text", "ingere_le"), ["report_id"], ["ingere_le"])
+    return splitting.split_texts(reports, "report_id", "full_text", "pages").withColumnRenamed("id", "report_id")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The reports that were cut. A report delivered twice is the same report, so ids are made distinct at the end."""
+    pieces = splitting.split_texts(table(spark, sf, "report_text"), "report_id", "full_text", "pages")
+    return pieces.where("n_morceaux > 1").select(F.col("id").alias("report_id")).distinct()
+
+
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_sources(table(spark, sf, "documents"), table(spark, sf, "cibles_sources"), "doc_id", "source", "text")
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p9_mix, p9_shares, p8_found, p8_items, p10_found, p10_shared_part)}
 ORACLES: dict[str, str] = {}
