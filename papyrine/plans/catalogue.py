@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from papyrine.plans import training_data
+
+QUERIES: dict = {**training_data.QUERIES}
+ORACLES: dict = {**training_data.ORACLES}
