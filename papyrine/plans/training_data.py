@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrine.operators import drift, nested
 from papyrine.operators.dedup import latest_by_key
+from papyrine.schema import PAYLOAD
 
 PATHS = {
     "distribution": "pre_formation.souhaitez_vous_suivre_distribution",
@@ -46,7 +47,7 @@ DECLARED = {
 
 
 def _followed(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.follow_schemas(drift.file_facts(spark.read.parquet(f"{sf}/payload_raw.parquet"), "flux", "rang_fichier", "contenu"), DECLARED)
+    return drift.follow_schemas(drift.file_facts(spark.read.parquet(f"{sf}/payload_raw.parquet"), "flux", "rang_fichier", "contenu"), PAYLOAD, DECLARED)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
