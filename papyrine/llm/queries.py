@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.llm import formatting_copies as fc
-from papyrine.llm import leaked_items, mixing, shared_spans, splitting
+from papyrine.llm import leaked_items, mixing, reference_list, shared_spans, splitting
 from papyrine.operators.dedup import latest_by_key
 
 LISTS = ("points_forts", "suggestions_complement_sur_formation", "elements_les_plus_utiles")
@@ -54,6 +54,23 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.where("n_morceaux > 1").select(F.col("id").alias("report_id")).distinct()
 
 
+def _mapped(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "payload_v2").select("payload_id", "ingere_le", "nom_formation", F.col("a_chaud.satisfaction_contenu.label").alias("labels"))
+    rows = latest_by_key(rows, ["payload_id"], ["ingere_le"])
+    one = F.struct(F.lit("nom_formation").alias("champ"), F.lit(0).alias("rang"), F.col("nom_formation").alias("valeur"))
+    many = F.transform(F.coalesce("labels", F.array().cast("array<string>")), lambda x, i: F.struct(F.lit("label").alias("champ"), i.alias("rang"), x.alias("valeur")))
+    typed = rows.select("payload_id", F.inline(F.concat(F.array(one), many)))
+    return reference_list.map_to_reference(typed, table(spark, sf, "referentiel"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mapped(spark, sf).select("payload_id", "champ", "rang", "ref_id")
+
+
+def p5_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    return reference_list.unmatched(_mapped(spark, sf))
+
+
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix_sources(table(spark, sf, "documents"), table(spark, sf, "cibles_sources"), "doc_id", "source", "text")
 
@@ -66,5 +83,5 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p9_mix, p9_shares, p8_found, p8_items, p10_found, p10_shared_part)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p5_found, p5_unmatched, p9_mix, p9_shares, p8_found, p8_items, p10_found, p10_shared_part)}
 ORACLES: dict[str, str] = {}
