@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.llm import formatting_copies as fc
-from papyrine.llm import leaked_items, mixing, reference_list, shared_spans, splitting
+from papyrine.llm import leaked_items, mixing, pii, reference_list, shared_spans, splitting
 from papyrine.operators.dedup import latest_by_key
 
 LISTS = ("points_forts", "suggestions_complement_sur_formation", "elements_les_plus_utiles")
@@ -54,6 +54,19 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.where("n_morceaux > 1").select(F.col("id").alias("report_id")).distinct()
 
 
+def _personal(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "verbatims").select("verbatim_id", "texte", "ingere_le")
+    return pii.personal_data(latest_by_key(rows, ["verbatim_id"], ["ingere_le"]), "verbatim_id", "texte").withColumnRenamed("id", "verbatim_id")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _personal(spark, sf).select("verbatim_id", F.inline("donnees")).select("verbatim_id", "genre", "debut")
+
+
+def p4_masked(spark: SparkSession, sf: str) -> DataFrame:
+    return _personal(spark, sf).select("verbatim_id", "texte_masque", F.size("donnees").alias("n_donnees"))
+
+
 def _mapped(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "payload_v2").select("payload_id", "ingere_le", "nom_formation", F.col("a_chaud.satisfaction_contenu.label").alias("labels"))
     rows = latest_by_key(rows, ["payload_id"], ["ingere_le"])
@@ -83,5 +96,5 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p5_found, p5_unmatched, p9_mix, p9_shares, p8_found, p8_items, p10_found, p10_shared_part)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p5_unmatched, p9_mix, p9_shares, p8_found, p8_items, p10_found, p10_shared_part)}
 ORACLES: dict[str, str] = {}
