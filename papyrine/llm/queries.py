@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrine.llm import formatting_copies as fc
-from papyrine.llm import leaked_items, mixing, pii, reference_list, shared_spans, splitting
+from papyrine.llm import leaked_items, mixing, pii, reference_list, scan_noise, shared_spans, splitting
 from papyrine.operators.dedup import latest_by_key
 
 LISTS = ("points_forts", "suggestions_complement_sur_formation", "elements_les_plus_utiles")
@@ -84,6 +84,20 @@ def p5_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return reference_list.unmatched(_mapped(spark, sf))
 
 
+CONTEXT = ("organisme", "nom_formation", "semestre")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """A report delivered twice has the same lines twice, so rows are made distinct at the end."""
+    lines = scan_noise.noise_lines(table(spark, sf, "report_text"), "report_id", "full_text", "pages", CONTEXT)
+    return lines.select(F.col("id").alias("report_id"), "ligne", "genre").distinct()
+
+
+def p6_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    reports = latest_by_key(table(spark, sf, "report_text").select("report_id", "full_text", "pages", "ingere_le", *CONTEXT), ["report_id"], ["ingere_le"])
+    return scan_noise.repaired_texts(reports, "report_id", "full_text", "pages", CONTEXT).withColumnRenamed("id", "report_id")
+
+
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix_sources(table(spark, sf, "documents"), table(spark, sf, "cibles_sources"), "doc_id", "source", "text")
 
@@ -96,5 +110,5 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p5_unmatched, p9_mix, p9_shares, p8_found, p8_items, p10_found, p10_shared_part)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p5_unmatched, p6_found, p6_repaired, p9_mix, p9_shares, p8_found, p8_items, p10_found, p10_shared_part)}
 ORACLES: dict[str, str] = {}
