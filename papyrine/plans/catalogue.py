@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from papyrine.plans import training_data
+from papyrine.plans import report_queries, training_data
 
-QUERIES: dict = {**training_data.QUERIES}
-ORACLES: dict = {**training_data.ORACLES}
+QUERIES: dict = {**report_queries.QUERIES, **training_data.QUERIES}
+ORACLES: dict = {**report_queries.ORACLES, **training_data.ORACLES}
