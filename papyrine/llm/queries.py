@@ -111,4 +111,26 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p5_unmatched, p6_found, p6_repaired, p9_mix, p9_shares, p8_found, p8_items, p10_found, p10_shared_part)}
-ORACLES: dict[str, str] = {}
+
+
+def _folded(name: str) -> str:
+    return f"list_transform(list_filter(coalesce(from_json(json_extract(contenu, '$.{name}'), '[\"VARCHAR\"]'), []), lambda x: x is not null), lambda x: regexp_replace(lower(x), '[\\s\\p{{Z}}\\p{{P}}\\p{{Cc}}\\p{{Cf}}]', '', 'g'))"
+
+
+_COPIES = f"select min(avis_id) over (partition by json_extract_string(contenu, '$.session'), {', '.join(map(_folded, LISTS))}) as garde_id, avis_id as copie_id from avis_brut"
+_WORDS = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"
+_GRAMS = "select {id}, array_to_string(w[i:i + 11], ' ') as g from (select {id}, w, unnest(range(1, len(w) - 10)) as i from (select {id}, {words} as w from {table}))"
+_LEAKS = f"""select distinct doc_id, item_id from ({_GRAMS.format(id='doc_id', words=_WORDS.format('text'), table='documents')}) join
+  ({_GRAMS.format(id='item_id', words=_WORDS.format('texte'), table='items_evaluation')}) using (g)"""
+_WINDOWS = """w as (select doc_id, i, substr(text, i, 250) as t from (select doc_id, text, unnest(range(1, length(text) - 248)) as i from documents where length(text) >= 250)),
+  g as (select t from w group by t having min(doc_id) < max(doc_id)), s as (select w.* from w semi join g using (t))"""
+ORACLES: dict[str, str] = {
+    "p1_found": f"select * from ({_COPIES}) where garde_id < copie_id",
+    "p1_counts": f"select garde_id, count(*) as n_exemplaires from ({_COPIES}) group by garde_id having count(*) > 1",
+    "p3_found": "select distinct report_id from report_text where length(full_text) > 6000",
+    "p8_found": _LEAKS,
+    "p8_items": f"select item_id, count(*) as n_documents from ({_LEAKS}) group by item_id",
+    "p10_found": f"with {_WINDOWS} select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from s a join s b on a.t = b.t and a.doc_id < b.doc_id",
+    "p10_shared_part": f"""with {_WINDOWS}, c as (select doc_id, sum(least(250, coalesce(suivant - i, 250))) as n from (select doc_id, i, lead(i) over (partition by doc_id order by i) as suivant from (select distinct doc_id, i from s)) group by doc_id)
+  select doc_id, length(text) as n_caracteres, cast(coalesce(n, 0) as bigint) as n_partages, case when length(text) > 0 then coalesce(n, 0) / length(text)::double else 0.0 end as part_partagee from documents left join c using (doc_id)""",
+}
