@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from papyrine.functions.scalar import collapse, norm, strip
+from papyrine.functions.scalar import collapse, let, norm, strip
 
 #: Answers that say nothing.
 NOISE = (
@@ -20,14 +20,13 @@ BULLETS = " -–—·•"
 
 def is_noise(text: Column) -> Column:
     """Blank, a known non-answer, or two characters at most."""
-    t = F.lower(strip(text))
-    return t.isin(*NOISE) | (F.length(t) <= 2)
+    longest = max(map(len, NOISE))
+    return let(strip(text), lambda t: (F.length(t) <= 2) | ((F.length(t) <= longest) & F.lower(t).isin(*NOISE)))
 
 
 def clean_comment(text: Column) -> Column:
     """The comment without noise, bullets and double blanks; null where nothing is left."""
-    t = norm(text)
-    return F.when(~is_noise(t), F.nullif(F.btrim(collapse(t), F.lit(BULLETS)), F.lit("")))
+    return let(norm(text), lambda t: F.when(~is_noise(t), F.nullif(F.btrim(collapse(t), F.lit(BULLETS)), F.lit(""))))
 
 
 def dedup_ignoring_case(items: Column) -> Column:

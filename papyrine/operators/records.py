@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.functions.scalar import cell, lenient_float, truthy_coalesce, votes_text
+from papyrine.functions.scalar import cell, lenient_float, let, truthy_coalesce, votes_text
 from papyrine.schema import ANSWERS, LABELS, MODES
 
 #: Spellings of satisfaction labels and what they stand for.
@@ -103,45 +103,54 @@ def legacy_to_current(df: DataFrame, raw: str) -> DataFrame:
 # --- validation --------------------------------------------------------------------------------------------------------
 
 
-def _typed(v: Column, kind: T.DataType, path: str) -> tuple[Column, list[Column]]:
-    """(typed value, messages) of a scalar leaf. A message is null where the leaf is fine."""
-    told = F.schema_of_variant(v)
-    void = v.isNull() | (told == "VOID")
-    if isinstance(kind, T.StringType):
-        value, bad = F.try_variant_get(v, "$", "string"), told != "STRING"
-    elif isinstance(kind, T.BooleanType):
-        value = F.try_variant_get(v, "$", "boolean")
-        bad = value.isNull()
-    else:
-        value = F.coalesce(F.try_variant_get(v, "$", "double"), F.when(told == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")))
-        bad = value.isNull()
+def _checked(leaf: Column, kind: T.DataType, path: str, required: bool, domain: tuple[str, ...] | None) -> Column:
+    """struct(value, message) of a scalar leaf; the message is null where the leaf is fine."""
+
+    def read(t: Column) -> Column:
+        v, told = t["v"], t["told"]
+        if isinstance(kind, T.StringType):
+            return F.when(told == "STRING", F.try_variant_get(v, "$", "string"))
+        if isinstance(kind, T.BooleanType):
+            return F.try_variant_get(v, "$", "boolean")
+        number = F.coalesce(F.try_variant_get(v, "$", "double"), F.when(told == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")))
         if isinstance(kind, (T.IntegerType, T.LongType)):
-            bad = bad | (value != F.floor(value))
-            value = value.cast("bigint")
-    bad = ~void & F.coalesce(bad, F.lit(True))
-    return F.when(~void & ~bad, value), [F.when(bad, F.lit(f"{path}: type"))]
+            return let(number, lambda x: F.when(x == F.floor(x), x.cast("bigint")))
+        return number
+
+    def judge(t: Column) -> Column:
+        message = F.when(t["void"], F.lit(f"{path}: absent") if required else F.lit(None)).when(t["value"].isNull(), F.lit(f"{path}: type"))
+        if domain:
+            message = F.when(~t["value"].isin(*domain), F.lit(f"{path}: domaine")).otherwise(message)
+        return F.struct(t["value"].alias("value"), message.alias("message"))
+
+    def typed(t: Column) -> Column:
+        void = t["v"].isNull() | (t["told"] == "VOID")
+        return F.struct(void.alias("void"), F.when(~void, read(t)).alias("value"))
+
+    bound = let(leaf, lambda v: F.struct(v.alias("v"), F.schema_of_variant(v).alias("told")))
+    return let(let(bound, typed), judge)
 
 
 def validate(df: DataFrame, raw: str, fields: dict[str, tuple[T.DataType, bool, tuple[str, ...] | None]]) -> DataFrame:
     """``df`` with a typed column per field and ``erreurs`` (empty for an accepted record).
 
     ``fields``: JSON path -> (type, required, allowed values). Numbers are read from numeric text and booleans, text only
-    from text; an integer must be whole. A record that isn't a JSON object has the one error ``json``.
+    from text; an integer must be whole. A record that isn't a JSON object has the one error ``json``. The document is
+    parsed once.
     """
-    v = F.try_parse_json(F.col(raw))
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    columns, messages = [], []
-    for path, (kind, required, domain) in fields.items():
-        leaf = F.try_variant_get(v, path, "variant")
-        value, found = _typed(leaf, kind, path)
-        messages += found
-        if required:
-            messages.append(F.when(leaf.isNull() | (F.schema_of_variant(leaf) == "VOID"), F.lit(f"{path}: absent")))
-        if domain:
-            messages.append(F.when(value.isNotNull() & ~value.isin(*domain), F.lit(f"{path}: domaine")))
-        columns.append(value.alias(path.rsplit(".", 1)[-1].strip("$.[]'\" ").replace(" ", "_")))
-    errors = F.when(is_object, F.array_compact(F.array(*messages))).otherwise(F.array(F.lit("json")))
-    return df.select("*", *columns, errors.alias("erreurs"))
+    names = [path.rsplit(".", 1)[-1].strip("$.[]'\" ").replace(" ", "_") for path in fields]
+
+    def body(v: Column) -> Column:
+        each = [_checked(F.try_variant_get(v, path, "variant"), kind, path, required, domain) for path, (kind, required, domain) in fields.items()]
+        checked = F.struct(*(c.alias(f"f{k}") for k, c in enumerate(each)))
+        messages = lambda t: F.array_compact(F.array(*(t[f"f{k}"]["message"] for k in range(len(each)))))
+        is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+        return let(checked, lambda t: F.struct(*(t[f"f{k}"]["value"].alias(n) for k, n in enumerate(names)), F.when(is_object, messages(t)).otherwise(F.array(F.lit("json"))).alias("erreurs")))
+
+    held = "_checked"
+    while held in df.columns:
+        held += "_"
+    return df.withColumn(held, let(F.try_parse_json(F.col(raw)), body)).select("*", f"{held}.*").drop(held)
 
 
 def exactly_one(values: list[Column]) -> Column:

@@ -227,7 +227,9 @@ def q10_clean_comments(spark: SparkSession, sf: str) -> DataFrame:
   select doc_id, pos, propre, row_number() over (partition by doc_id, lower(propre) order by pos) as k from (select doc_id, pos, {s_clean('ligne')} as propre from {_LINES}) where propre is not null) where k = 1)""")
 def q10b_clean_comments_by_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The same as a relational plan, for comments that come as rows."""
-    rows = tb.lines(table(spark, sf, "documents"), ["doc_id"], "text").withColumn("propre", lists.clean_comment(F.col("ligne"))).where("propre is not null")
+    rows = tb.lines(table(spark, sf, "documents"), ["doc_id"], "text")
+    # an exploded value is computed once, however many later steps read it
+    rows = rows.select("doc_id", "pos", F.explode(F.array(lists.clean_comment(F.col("ligne")))).alias("propre")).where("propre is not null")
     first = F.row_number().over(Window.partitionBy("doc_id", F.lower("propre")).orderBy("pos"))
     rows = rows.withColumn("k", first).where("k = 1")
     return rows.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1).alias("rang"), "propre")
