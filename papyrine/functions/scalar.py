@@ -54,12 +54,15 @@ def lenient_number(text: Column) -> Column:
 
 
 def one_decimal(x: Column) -> Column:
-    """``x`` with one decimal, ties to even on the exact binary value, for |x| < 2**53; nan and inf by name."""
+    """``x`` with one decimal, ties to even on the exact binary value; nan and inf by name. From 10**37 on null."""
     unit, half = F.lit(2**59).cast("decimal(20,0)"), F.lit(2**58).cast("decimal(20,0)")
 
+    exact = F.lit(2.0**53)
+
     def scaled(v: Column) -> Column:
-        part = (F.abs(v) - F.floor(F.abs(v))) * F.lit(2.0**59)
-        return F.struct(v.alias("v"), F.floor(F.abs(v)).alias("whole"), (part.cast("bigint").cast("decimal(20,0)") * F.lit(10).cast("decimal(2,0)")).alias("s"))
+        size = F.when(F.abs(v) < exact, F.abs(v)).when(v.isNotNull(), F.lit(0.0))
+        part = (size - F.floor(size)) * F.lit(2.0**59)
+        return F.struct(v.alias("v"), F.floor(size).alias("whole"), (part.cast("bigint").cast("decimal(20,0)") * F.lit(10).cast("decimal(2,0)")).alias("s"))
 
     def tenths(t: Column) -> Column:
         at = F.floor(t["s"] / unit).cast("bigint")
@@ -72,7 +75,7 @@ def one_decimal(x: Column) -> Column:
 
     def text(t: Column) -> Column:
         digits = F.concat(F.when(F.signum(t["v"]) < 0, F.lit("-")).otherwise(F.lit("")), (t["whole"] + (t["at"] == 10).cast("bigint")).cast("string"), F.lit("."), (t["at"] % 10).cast("string"))
-        return F.when(F.isnan(t["v"]), F.lit("nan")).when(F.abs(t["v"]) == float("inf"), F.when(t["v"] > 0, F.lit("inf")).otherwise(F.lit("-inf"))).otherwise(digits)
+        return F.when(F.isnan(t["v"]), F.lit("nan")).when(F.abs(t["v"]) == float("inf"), F.when(t["v"] > 0, F.lit("inf")).otherwise(F.lit("-inf"))).when(F.abs(t["v"]) >= exact, t["v"].try_cast("decimal(38,1)").cast("string")).otherwise(digits)
 
     return let(x, lambda v: let(let(let(scaled(v), tenths), rounded), text))
 
