@@ -33,7 +33,7 @@ BATCH_TEXTS = 512
 _AT = r"(?:\s?@\s?|\s?[(\[]\s?(?:at|arobase)\s?[)\]]\s?|\s(?:arobase)\s)"
 _DOT = r"(?:\.|\s?[(\[]\s?(?:point|dot)\s?[)\]]\s?)"
 PATTERNS = {
-    "mail": re.compile(rf"[A-Za-z0-9][\w.+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.IGNORECASE),
+    "mail": re.compile(rf"(?<!\w)[A-Za-z0-9][\w.+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.IGNORECASE),
     "phone": re.compile(r"(?<![\w.,/-])(?:(?:\+|00)\s?33[\s.-]?(?:\(0\))?[\s.-]?[1-9]|[0O][1-9])(?:[\s.-]?[\dOIl]){8}(?![\w/]|[.-]\d)"),
     "nir": re.compile(r"(?<![\w.])[12][\s.]?\d\d[\s.]?\d\d[\s.]?\d[\dAB][\s.]?\d{3}[\s.]?\d{3}(?:[\s./]{0,2}\d\d)?(?![\w]|[.-]\d)"),
     "card": re.compile(r"(?<![\w-])(?=[A-Z]*\d)(?=\d*[A-Z])[A-Z0-9]{9}(?![\w-])"),
@@ -158,6 +158,8 @@ class Field:
             ids += [self.entry(t, k) for t, k in zip(tokens, known, strict=True)]
             ids += [0] * REACH
         ids, n = np.array(ids), len(ids)
+        if n == REACH * (len(texts) + 1):  # no word at all
+            return [np.zeros((0, len(LABELS))) for _ in texts]
         different, back = np.unique(ids, return_inverse=True)
         table = np.stack([self.given[k] for k in different])
         total = np.zeros((n, len(LABELS))) + self._vector(["bias"])
@@ -314,7 +316,9 @@ def decode(field: Field, texts: list[str], frequent: frozenset[str]) -> list[lis
     order = sorted(range(len(texts)), key=lambda i: len(texts[i]))  # texts of like length are padded least
     at = 0
     while at < len(order):
-        size = max(1, min(BATCH_TEXTS, (1 << 17) // (1 + len(texts[order[at]]))))
+        size = 1
+        while size < BATCH_TEXTS and at + size < len(order) and (size + 1) * len(texts[order[at + size]]) < 1 << 18:
+            size += 1
         chosen, at = order[at : at + size], at + size
         part = [tokenise(texts[i]) for i in chosen]
         known = [[not t[0].isalpha() or t.lower() in frequent for t in tokens] for tokens, _ in part]

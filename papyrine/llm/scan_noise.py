@@ -38,9 +38,9 @@ SKELETON = str.maketrans({**_ALIKE, **_WIDE})
 TOKEN = re.compile(r"[\w@]+['’]?")
 NUMBER = re.compile(r"\d+")
 ALONE = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
-COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
+COMPOUND = re.compile(r"(?<![^\W\d_])[^\W\d_]+(?:-[^\W\d_]+)+")
 HYPHENS = "-‐­‑"
-CUT_LEFT = re.compile(rf"([\w@]+)[{HYPHENS}][ \t]*$")
+CUT_LEFT = re.compile(rf"(?<![\w@])([\w@]+)[{HYPHENS}][ \t]*$")
 CUT_RIGHT = re.compile(r"^[ \t]*([\w@]+)")
 #: A word or line pattern is kept from this share of all words or of all reports on, and from so many occurrences.
 WORD_SHARE, WORD_LEAST = 1e-6, 2

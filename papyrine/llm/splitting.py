@@ -34,14 +34,14 @@ def nearest(pattern: re.Pattern, text: str, lo: int, hi: int, mid: int) -> int |
         begin = max(lo, mid - reach)
         before = None
         for m in pattern.finditer(text, begin, min(hi, mid + 8)):
-            if lo < m.end() <= mid:
+            if m.start() < mid and lo < m.end() < hi:
                 before = m.end()
         if before is not None or begin == lo:
             break
         reach *= 4
     if before is None or after is None:
         return after if before is None else before
-    return before if mid - before <= after - mid else after
+    return before if abs(mid - before) <= after - mid else after
 
 
 def midpoint_cut(text: str, lo: int, hi: int, pages: list[int]) -> tuple[int, int]:
