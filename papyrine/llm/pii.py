@@ -29,12 +29,17 @@ WORD = re.compile(r"[^\W\d_]+")
 #: A word is frequent from this share of all words of the corpus on, and from so many occurrences.
 FREQUENT, FREQUENT_LEAST = 2e-5, 4
 BATCH_TEXTS = 512
+#: A find of a telephone of unknown form has so many digits at least; a date has 8.
+PHONE_DIGITS = 9
 
 _AT = r"(?:\s?@\s?|\s?[(\[]\s?(?:at|arobase)\s?[)\]]\s?|\s(?:arobase)\s)"
 _DOT = r"(?:\.|\s?[(\[]\s?(?:point|dot)\s?[)\]]\s?)"
 PATTERNS = {
     "mail": re.compile(rf"(?<!\w)[A-Za-z0-9][\w.+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.IGNORECASE),
-    "phone": re.compile(r"(?<![\w.,/-])(?:(?:\+|00)\s?33[\s.-]?(?:\(0\))?[\s.-]?[1-9]|[0O][1-9])(?:[\s.-]?[\dOIl]){8}(?![\w/]|[.-]\d)"),
+    "phone": re.compile(
+        r"(?<![\w.,/-])(?:(?:(?:\+|00)\s?33[\s.-]?(?:\(0\))?[\s.-]?[1-9]|[0O][1-9])(?:[\s.-]?[\dOIl]){8}(?![\w/]|[.-]\d)"
+        r"|(?:(?:\+|00)\s?33[\s/]?(?:\(0\))?[\s/]?[1-9]|[0O][1-9])(?:\s?/\s?[\dOIl]{2}){4}(?!\w|\s?/\s?\d|[.-]\d))"
+    ),
     "nir": re.compile(r"(?<![\w.])[12][\s.]?\d\d[\s.]?\d\d[\s.]?\d[\dAB][\s.]?\d{3}[\s.]?\d{3}(?:[\s./]{0,2}\d\d)?(?![\w]|[.-]\d)"),
     "card": re.compile(r"(?<![\w-])(?=[A-Z]*\d)(?=\d*[A-Z])[A-Z0-9]{9}(?![\w-])"),
     "twelve": re.compile(r"(?<![\w-])\d{12}(?![\w-])"),
@@ -337,7 +342,8 @@ def decode(field: Field, texts: list[str], frequent: frozenset[str]) -> list[lis
 
 def checked(text: str, spans: list[list]) -> Iterator[tuple[int, int, str]]:
     """Exact check of finds with a form: mail addresses and numbers are what their patterns say, an address has its
-    number; they are given their pattern's ends. A name begins behind its titles."""
+    number; they are given their pattern's ends. A telephone of another form counts by its digits. A name begins behind
+    its titles."""
     forms = {"courriel": ("mail",), "telephone": ("phone",), "identite": ("nir", "card", "twelve"), "adresse": ("house",)}
     for a, b, kind in spans:
         if kind not in forms:
@@ -350,6 +356,9 @@ def checked(text: str, spans: list[list]) -> Iterator[tuple[int, int, str]]:
             if m:
                 yield m.start(), max(m.end(), b) if kind == "adresse" else m.end(), kind
                 break
+        else:
+            if kind == "telephone" and sum(c.isdigit() for c in text[a:b]) >= PHONE_DIGITS:
+                yield a, b, kind
 
 
 def frequent_words(df: DataFrame, text_col: str) -> frozenset[str]:

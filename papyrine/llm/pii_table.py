@@ -195,7 +195,8 @@ def telephone(r: random.Random) -> str:
     pairs = [d[i : i + 2] for i in range(0, 10, 2)]
     style = r.random()
     if style < 0.45:
-        return r.choice([" ", ".", "-", " "]).join(pairs)
+        between = r.choice([" ", ".", "-", " "])
+        return ("/" if style < 0.09 else between).join(pairs)  # no draw of its own, so the other rows stay as they are
     if style < 0.6:
         return d
     if style < 0.7:

@@ -28,6 +28,19 @@ def test_held_out_accuracy():
     assert right / told > 0.97 and right / true > 0.97
 
 
+def test_telephones_with_slashes():
+    texts = ["sms possible : 04/65/71/28/70, le soir", "tél. O1/99/00/21/02", "noter 12/03/2025 et 14/03/2025 au planning", "noter 01/02/2025 03 au planning"]
+    found = pii.decode(pii.trained(), texts, frequent(texts, 1))
+    assert [[t[a:b] for a, b, k in f if k == "telephone"] for t, f in zip(texts, found, strict=True)] == [["04/65/71/28/70"], ["O1/99/00/21/02"], [], []]
+    assert pii.mask(texts[0], found[0]) == "sms possible : [TELEPHONE], le soir"
+
+
+@pytest.mark.parametrize(("text", "kept"), [("639 98 11 18", True), ("+32 470 12 34 56", True), ("12/03/2025", False), ("17 h", False)])
+def test_telephone_of_unknown_form_counts_by_digits(text, kept):
+    whole = f"joignable au {text}"
+    assert list(pii.checked(whole, [[13, len(whole), "telephone"]])) == [(13, len(whole), "telephone")] * kept
+
+
 def test_viterbi_equals_brute_force():
     import itertools
 
