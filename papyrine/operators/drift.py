@@ -24,8 +24,6 @@ SEP = "\x1f"
 EACH = "[]"
 #: Longest shape that is told apart.
 SHAPE = 16
-#: Most shapes of a declared field that are learnt from all files, by frequency.
-PROFILE = 200
 
 ADD = DELETE = 1.0
 #: A match dearer than this is no match: deleting and adding costs less.
@@ -317,20 +315,21 @@ def follow_schemas(facts: DataFrame, schema: T.StructType, declared: dict[str, t
 
     The unit of work is a sender's files as trees, whose size doesn't depend on the number of records.
     """
-    wanted = F.lit(False)
-    for parent, key in declared.values():
-        wanted = wanted | ((F.col("parent") == parent) & (F.col("cle") == key))
-    learnt = facts.where(wanted).groupBy("parent", "cle", "forme").agg(F.sum("n").alias("n"))
-    top = learnt.orderBy(F.desc("n"), "parent", "cle", "forme").limit(PROFILE * len(declared)).collect()
-    profile: dict[str, Counter] = defaultdict(Counter)
-    for name, place in declared.items():
-        for r in top:
-            if (r.parent, r.cle) == place:
-                profile[name][r.forme] += r.n
-    profile = dict(profile)
+    at = F.array_compact(F.array(*(F.when((F.col("parent") == parent) & (F.col("cle") == key), F.lit(name)) for name, (parent, key) in declared.items())))
+    # A sender only needs to know of its own shapes whether they are a field's. The empty shape, which every file has at
+    # its root, tells that the field has any.
+    learnt = (
+        facts.select("forme", F.explode(at).alias("champ")).select(F.explode(F.array("forme", F.lit(""))).alias("forme"), "champ")
+        .groupBy("forme").agg(F.collect_set("champ").alias("champs"))
+    )
+    facts = facts.join(learnt, "forme", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         files = {int(r): tree(zip(g["parent"], g["cle"], g["type"], g["forme"], g["n"], strict=True)) for r, g in pdf.groupby("rang")}
+        profile: dict[str, Counter] = defaultdict(Counter)
+        for form, names in zip(pdf["forme"], pdf["champs"], strict=True):
+            for name in names if names is not None else ():
+                profile[name][form] = 1
         changes, places = follow(schema, declared, profile, files)
         flux = pdf["flux"].iloc[0]
         rows = [(flux, *c) for c in changes] + [(flux, rang, name, "place", parent, key) for rang, name, parent, key, _ in places]

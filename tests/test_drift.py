@@ -58,6 +58,15 @@ def test_moved_field(spark):
     assert found(spark, [(1, record()), (2, moved)]) == set()
 
 
+def test_many_shapes_of_one_field_do_not_push_out_those_of_another(spark):
+    many = [(1, "a", 1, json.dumps(record(version=("version_prompt", f"{k:b}".replace("0", "-").replace("1", ".")), votes=("nb_votants", "4_b")))) for k in range(700)]
+    rows = [(k, *x) for k, (_, *x) in enumerate(many * 2)] + [(2000, "c", 1, json.dumps(record(late=("retards_apprenants", ["x", 1])))) ]
+    rows += [(3000, "b", 1, json.dumps(record(late=("zzz", ["x", 1])))), (3001, "b", 2, json.dumps(record(late=("retards_apprenants", ["x", 1]))))]
+    df = spark.createDataFrame(rows, "raw_id long, flux string, rang int, raw string")
+    out = drift.follow_schemas(drift.file_facts(df, "flux", "rang", "raw"), PAYLOAD, DECLARED).where("changement <> 'place'")
+    assert {(r.flux, r.rang, r.champ, r.changement) for r in out.collect()} == {("b", 2, "retards_apprenants", "renommage")}
+
+
 def test_one_file_and_no_file(spark):
     assert found(spark, [(1, record())]) == set()
     assert found(spark, [(1, None), (2, "[]")]) == set()
