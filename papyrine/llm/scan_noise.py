@@ -118,7 +118,12 @@ class Lexicon:
 
 
 def align(true: str, seen: str) -> list[str] | None:
-    """Operations that turn ``seen`` into ``true``, one for each seen character, if misreadings can explain it."""
+    """Operations that turn ``seen`` into ``true``, one for each seen character, if misreadings can explain it.
+
+    Both sides of a step have the same skeleton, so there is one place in ``seen`` for each in ``true``, whatever the length.
+    """
+    if true.translate(SKELETON) != seen.translate(SKELETON):
+        return None
     reach: dict[tuple[int, int], tuple | None] = {(0, 0): None}
     todo = [(0, 0)]
     while todo:
@@ -128,8 +133,8 @@ def align(true: str, seen: str) -> list[str] | None:
             at: tuple | None = (i, j)
             while reach[at] is not None:
                 at, step = reach[at]
-                ops = step + ops
-            return ops
+                ops += reversed(step)
+            return ops[::-1]
         if i == len(true):
             continue
         options = [(true[i], ["keep"])] if j < len(seen) and seen[j] == true[i] else []
@@ -177,7 +182,7 @@ def word_rows(token: str, lexicon: Lexicon) -> list[tuple[list[str], list[str]]]
 
 def edit_word(token: str, lexicon: Lexicon, editor: Perceptron) -> list[str] | None:
     """The operation of each character, or None where all are kept. A misread letter is edited as a whole."""
-    if token.isdigit() or "_" in token or len(token) > 40 or lexicon.words.get(token, 0) > 0 and not lexicon.source(token):
+    if token.isdigit() or "_" in token or lexicon.words.get(token, 0) > 0 and not lexicon.source(token):
         return None
     ops = [editor.predict(f, a) for f, a in word_rows(token, lexicon)]
     found = lexicon.source(token)

@@ -98,6 +98,16 @@ def test_alignment_explains_misreadings():
     assert sn.align("clés", "des") is None
 
 
+def test_misreadings_in_long_runs_of_letters():
+    run = "lavisitedusiteannexeétaitutileetleformateurrestaitdisponible"
+    lexicon = sn.Lexicon({run: 50}, {})
+    assert sn.edit_word(run, lexicon, sn.editor()) is None
+    for seen, letter in ((run.replace("v", "y", 1), "v"), (run.replace("o", "0", 1), "o")):
+        assert [o for o in sn.edit_word(seen, lexicon, sn.editor()) if o != "keep"] == [f"replace:{letter}"]
+    n = 20_000
+    assert sn.align("v" * n + "m", "y" * n + "rn") == [*["replace:v"] * n, "replace:m", "delete"]
+
+
 def make_report(r, n, head, foot, number):
     clean = [s.lower() for s in sn.SENTENCES]
     pages, lines, kinds = [], [], []
