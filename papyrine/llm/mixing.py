@@ -68,7 +68,7 @@ def sampling_key(identity: Column, weight: Column, seed: int) -> Column:
     return -F.log(u) / weight
 
 
-def mix_sources(df: DataFrame, targets: DataFrame, id_col: str, source_col: str, text_col: str, total_tokens: int | None = None, weight: Column | None = None, vocabulary: str | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def mix_sources(df: DataFrame, targets: DataFrame, id_col: str, source_col: str, text_col: str, total_tokens: int | None = None, weight: Column | None = None, vocabulary: str | None = None, seed: int = 1, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares).
 
     ``chosen``: (doc_id, source, n_tokens, repetitions) of each document with at least one repetition.
@@ -76,7 +76,8 @@ def mix_sources(df: DataFrame, targets: DataFrame, id_col: str, source_col: str,
 
     ``targets`` has ``source``, ``part_cible``, ``repetitions_max``. By default the total is the largest at which every
     source that has tokens reaches its share; a target without documents gets 0 and the other shares keep their proportions.
-    With ``total_tokens`` a source that runs out at ``repetitions_max`` stays below its share, which ``shares`` shows.
+    With ``total_tokens``, or with ``whole``, where the total is all tokens of the sources with a target, a source that runs
+    out at ``repetitions_max`` stays below its share, which ``shares`` shows.
     Sources without a target, and null sources, give nothing. A text without tokens costs nothing and is used as
     often as its source's epochs. Equal keys are ordered by id. Without any tokens nothing is chosen.
     """
@@ -90,9 +91,11 @@ def mix_sources(df: DataFrame, targets: DataFrame, id_col: str, source_col: str,
     has = docs.groupBy("source").agg(F.sum("n_tokens").alias("n_disponibles"))
     plan = goals.join(has, "source", "left").withColumn("n_disponibles", F.coalesce("n_disponibles", F.lit(0)))
     usable = F.when((F.col("n_disponibles") > 0) & (F.col("repetitions_max") > 0), F.col("part_cible")).otherwise(F.lit(0.0))
-    head = plan.select(usable.alias("part"), (F.col("n_disponibles") * F.col("repetitions_max")).alias("most")).agg(
-        F.sum("part").alias("part"), F.min(F.when(F.col("part") > 0, F.col("most") / F.col("part"))).alias("total")).first()
+    head = plan.select(usable.alias("part"), (F.col("n_disponibles") * F.col("repetitions_max")).alias("most"), F.col("n_disponibles").alias("disponibles")).agg(
+        F.sum("part").alias("part"), F.sum(F.when(F.col("part") > 0, F.col("disponibles"))).alias("disponibles"), F.min(F.when(F.col("part") > 0, F.col("most") / F.col("part"))).alias("total")).first()
     scale = float(head.part or 1.0)
+    if total_tokens is None and whole:
+        total_tokens = head.disponibles or 0
     total = float(total_tokens) if total_tokens is not None else float(head.total or 0.0) * scale
     budget = F.lit(total) * usable / F.lit(scale)
     plan = (

@@ -98,8 +98,8 @@ def p6_repaired(spark: SparkSession, sf: str) -> DataFrame:
     return scan_noise.repaired_texts(reports, "report_id", "full_text", "pages", CONTEXT).withColumnRenamed("id", "report_id")
 
 
-def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mix_sources(table(spark, sf, "documents"), table(spark, sf, "cibles_sources"), "doc_id", "source", "text")
+def _mix(spark: SparkSession, sf: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_sources(table(spark, sf, "documents"), table(spark, sf, "cibles_sources"), "doc_id", "source", "text", whole=whole)
 
 
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +110,16 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p5_unmatched, p6_found, p6_repaired, p9_mix, p9_shares, p8_found, p8_items, p10_found, p10_shared_part)}
+def p9_whole_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The mix as large as the corpus, where sources run out."""
+    return _mix(spark, sf, whole=True)[0]
+
+
+def p9_whole_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf, whole=True)[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p5_unmatched, p6_found, p6_repaired, p9_mix, p9_shares, p9_whole_mix, p9_whole_shares, p8_found, p8_items, p10_found, p10_shared_part)}
 
 
 def _folded(name: str) -> str:

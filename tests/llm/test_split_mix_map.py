@@ -112,6 +112,19 @@ def test_running_out_is_shown(corpus, targets):
         assert r.n_tokens == r.n_disponibles * r.epoques and (r.source == "vide" or r.epoques == {"a": 1, "b": 2, "c": 3}[r.source])
 
 
+def test_whole_corpus_runs_out(corpus, targets):
+    _, shares = mixing.mix_sources(corpus, targets.withColumn("repetitions_max", F.lit(1)), "doc_id", "source", "text", whole=True)
+    got = {r.source: r for r in shares.collect()}
+    total = sum(r.n_disponibles for r in got.values())
+    for s in "bc":
+        assert got[s].n_tokens == got[s].n_disponibles < total * got[s].part_cible / 0.9 and got[s].part_atteinte < got[s].part_cible / 0.9
+    assert abs(got["a"].n_tokens - total * 0.5 / 0.9) < 40 and got["vide"].n_tokens == 0
+
+
+def test_empty_corpus_whole(corpus, targets):
+    assert mixing.mix_sources(corpus.limit(0), targets, "doc_id", "source", "text", whole=True)[0].count() == 0
+
+
 def test_empty_corpus(corpus, targets):
     chosen, shares = mixing.mix_sources(corpus.limit(0), targets, "doc_id", "source", "text")
     assert chosen.count() == 0 and {r.n_tokens for r in shares.collect()} == {0}
