@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrine.functions.scalar import cell, lenient_float, let, truthy_coalesce, votes_text
-from papyrine.schema import ANSWERS, LABELS, MODES
+from papyrine.schema import ANSWERS, LABELS, MODES, PAYLOAD
 
 #: Spellings of satisfaction labels and what they stand for.
 LABEL_MAP = {
@@ -159,6 +159,52 @@ def exactly_one(values: list[Column]) -> Column:
 
 
 DOMAINS = {"mode": MODES, "label": LABELS, "reponse": ANSWERS}
+#: Fields that must be there, fields that are also read under another name, and those of which one item has one.
+REQUIRED = {"Nom formation", " semestre", "lien_vers_formation", "objectif_label", "label"}
+ALIASES = {"Nom formation": "Nom_formation", " semestre": "semestre", "nb votants": "nb_votants", **{f"echele {k}": f"echele_{k}" for k in "54321"}}
+ONE_OF = frozenset(f"echele {k}" for k in "54321")
+
+
+def _errors(v: Column, kind: T.DataType, path: str, required: bool, domain: tuple[str, ...] | None = None) -> Column:
+    """Messages on a VARIANT and all below it, as array<string>; elements of an array have the path of ``[]``."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+
+        def below(x: Column) -> Column:
+            if isinstance(kind, T.ArrayType):
+                return F.array_distinct(F.flatten(F.transform(x.cast("array<variant>"), lambda e: _errors(e, kind.elementType, path + "[]", True))))
+            if isinstance(kind, T.MapType):
+                return F.array_distinct(F.flatten(F.transform(F.map_values(x.cast("map<string,variant>")), lambda e: _errors(e, kind.valueType, path + ".*", False))))
+            out, some = [], []
+            for f in kind.fields:
+                child = F.try_variant_get(x, f"$['{f.name}']", "variant")
+                if f.name in ALIASES and ALIASES[f.name] not in kind.names:
+                    child = F.coalesce(child, F.try_variant_get(x, f"$['{ALIASES[f.name]}']", "variant"))
+                out.append(_errors(child, f.dataType, f"{path}.{f.name}", f.name in REQUIRED, DOMAINS.get(f.name)))
+                if f.name in ONE_OF:
+                    some.append(F.when(child.isNotNull() & ~F.is_variant_null(child), F.lit(1)))
+            if some:
+                out.append(F.when(~exactly_one(some), F.array(F.lit(f"{path}: exactement un"))).otherwise(none))
+            return F.concat(*out)
+
+        begins = "ARRAY" if isinstance(kind, T.ArrayType) else "OBJECT"
+        absent = F.array(F.lit(f"{path}: absent")) if required else none
+        return let(F.struct(v.alias("v"), F.schema_of_variant(v).alias("told")), lambda t: F.when(t["told"].isNull() | (t["told"] == "VOID"), absent).when(t["told"].startswith(begins), below(t["v"])).otherwise(F.array(F.lit(f"{path}: type"))))
+    return F.array_compact(F.array(_checked(v, kind, path, required, domain)["message"]))
+
+
+def payload_errors(raw: Column, schema: T.StructType = PAYLOAD) -> Column:
+    """What is wrong with a whole record against the declared schema, arrays and maps included; empty if it is accepted.
+
+    Types, required fields, domains and the one level of a distribution item. Unknown keys are no fault. A text that isn't
+    a JSON object has the one error ``json``.
+    """
+
+    def body(v: Column) -> Column:
+        is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+        return F.when(is_object, _errors(v, schema, "$", True)).otherwise(F.array(F.lit("json")))
+
+    return let(F.try_parse_json(raw), body)
 
 
 def section_messages(sections: dict[str, tuple[Column, Column]]) -> Column:

@@ -326,6 +326,23 @@ def q18_validate(spark: SparkSession, sf: str) -> DataFrame:
     return records.validate(rows, "raw", _RULES).drop("raw").withColumn("erreurs", F.array_join("erreurs", "|"))
 
 
+def _current(spark: SparkSession, sf: str) -> DataFrame:
+    raw = latest_by_key(table(spark, sf, "payload_raw").select("raw_id", "contenu", "depose_le"), ["raw_id"], ["depose_le"])
+    return records.legacy_to_current(raw, "contenu")
+
+
+@query()
+def q15_legacy_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole payloads in the current layout."""
+    return _current(spark, sf).select("raw_id", "etait_v2", "v2")
+
+
+@query()
+def q18_validate_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole payloads, brought to the current layout, against the declared schema; accepted ones have no error."""
+    return _current(spark, sf).select("raw_id", F.array_join(records.payload_errors(F.col("v2")), "|").alias("erreurs"))
+
+
 _SECTIONS = ("pre_formation", "a_chaud", "a_froid", "intervenants", "resultats_evaluations")
 
 

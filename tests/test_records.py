@@ -56,6 +56,33 @@ def test_validate(spark, raw, values, errors):
     assert ((r.n, r.d, r.s, r.b), r.erreurs) == (values, errors)
 
 
+GOOD = {"Nom formation": "A", " semestre": "S1 2025", "lien_vers_formation": "x", "inconnu": {"a": 1}}
+
+
+@pytest.mark.parametrize(
+    ("more", "errors"),
+    [
+        ({}, []), ({"a_chaud": None, "intervenants": {"retards_apprenants": {"oui": 1, "non": None}}}, []),
+        ({"Nom formation": None}, ["$.Nom formation: absent"]), ({"a_froid": [1]}, ["$.a_froid: type"]),
+        ({"a_chaud": {"satisfaction_contenu": [{"label": "Satisfait(e)", "count": "3"}, {"label": "Ravi", "count": "x"}, {}]}}, ["$.a_chaud.satisfaction_contenu[].label: domaine", "$.a_chaud.satisfaction_contenu[].count: type", "$.a_chaud.satisfaction_contenu[].label: absent"]),
+        ({"a_chaud": {"points_forts": ["a", None, 3]}}, ["$.a_chaud.points_forts[]: absent", "$.a_chaud.points_forts[]: type"]),
+        ({"a_froid": {"maitrise_objectifs_a_froid": {"mode": "5_niveaux", "par_objectif": [{"objectif_label": "o", "levels": {"totalement": "y"}}]}}}, ["$.a_froid.maitrise_objectifs_a_froid.mode: domaine", "$.a_froid.maitrise_objectifs_a_froid.par_objectif[].levels.totalement: type"]),
+        ({"pre_formation": {"souhaitez_vous_suivre_distribution": [{"echele 5": "1 votants", "echele 4": None, "pourcentage": 3}, {"echele_3": "2"}]}}, []),
+        ({"pre_formation": {"souhaitez_vous_suivre_distribution": [{"echele 5": "1", "echele 4": "2"}]}}, ["$.pre_formation.souhaitez_vous_suivre_distribution[]: exactement un"]),
+        ({"pre_formation": {"souhaitez_vous_suivre_distribution": [{"echele 5": None}]}}, ["$.pre_formation.souhaitez_vous_suivre_distribution[]: exactement un"]),
+        ({"intervenants": {"contenu_non_prevu": {"reponse": "peut-être"}, "retards_apprenants": {"oui": "z"}}}, ["$.intervenants.contenu_non_prevu.reponse: domaine", "$.intervenants.retards_apprenants.*: type"]),
+    ],
+)
+def test_whole_payload(spark, more, errors):
+    df = spark.createDataFrame([(json.dumps(GOOD | more),)], "raw string")
+    assert sorted(df.select(records.payload_errors(F.col("raw")).alias("e")).first().e) == sorted(errors)
+
+
+def test_payload_that_is_no_object(spark):
+    df = spark.createDataFrame([("[1]",), ("oops",), (None,)], "raw string")
+    assert [r.e for r in df.select(records.payload_errors(F.col("raw")).alias("e")).collect()] == [["json"]] * 3
+
+
 def test_align_headers(spark):
     df = spark.createDataFrame([("a", None, ["x", "", "y"])], "n string, k int, l array<string>")
     heads = [" n", "zz", "k", "n", "l "]
