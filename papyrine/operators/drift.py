@@ -338,19 +338,24 @@ def follow_schemas(facts: DataFrame, schema: T.StructType, declared: dict[str, t
     return facts.groupBy("flux").applyInPandas(run, "flux string, rang int, champ string, changement string, avant string, apres string")
 
 
+def _down(text: Column, steps: Column) -> Column:
+    """JSON text of what stands below ``text`` at the end of ``steps``."""
+    return F.aggregate(steps, text, lambda at, step: F.try_element_at(F.from_json(at, "map<string,string>"), step))
+
+
 def value_at(raw: Column, parent: Column, key: Column) -> Column:
-    """JSON text or plain text of the value under ``key`` of the object at ``parent``; for a path through an array,
-    the array of the values under ``key`` of its elements, nulls kept, as array<string>."""
+    """JSON text or plain text of the value under ``key`` of the object at ``parent``, however deep; null below an array."""
     steps = F.split(parent, SEP)
-    root = F.from_json(raw, "map<string,string>")
-    at = root
-    inner = F.when(F.size(steps) > 1, F.try_element_at(at, F.element_at(steps, 2)))
-    return F.when(F.size(steps) == 1, F.try_element_at(root, key)).otherwise(F.try_element_at(F.from_json(inner, "map<string,string>"), key))
+    at = _down(raw, F.slice(steps, F.lit(2), F.size(steps)))
+    return F.try_element_at(F.from_json(at, "map<string,string>"), key)
 
 
 def items_at(raw: Column, parent: Column, key: Column) -> Column:
-    """Values under ``key`` of the objects in the array at ``parent`` (…, array name, ``[]``), as array<string>."""
+    """Values under ``key`` of the objects at ``parent`` (…, array name, ``[]``, …), as array<string>, nulls kept. The path
+    may be of any depth before and behind its one array."""
     steps = F.split(parent, SEP)
-    outer = F.try_element_at(F.from_json(raw, "map<string,string>"), F.element_at(steps, 2))
-    listed = F.try_element_at(F.from_json(outer, "map<string,string>"), F.element_at(steps, 3))
-    return F.transform(F.from_json(listed, "array<map<string,string>>"), lambda m: F.try_element_at(m, key))
+    array = F.array_position(steps, F.lit(EACH)).cast("int")
+    listed = _down(raw, F.slice(steps, F.lit(2), F.greatest(array - 2, F.lit(0))))
+    behind = F.slice(steps, array + 1, F.size(steps))
+    values = F.transform(F.from_json(listed, "array<string>"), lambda e: F.try_element_at(F.from_json(_down(e, behind), "map<string,string>"), key))
+    return F.when(array > 0, values)

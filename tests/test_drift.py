@@ -87,3 +87,15 @@ def test_projection_reads_renamed_keys(spark):
     s = drift.SEP
     got = df.select(drift.items_at(F.col("raw"), F.lit(f"{s}pre_formation{s}souhaitez_vous_suivre_distribution{s}[]"), F.lit("nb votants")).alias("v"), drift.value_at(F.col("raw"), F.lit(f"{s}intervenants"), F.lit("retards_apprenants")).alias("l")).collect()
     assert got[0].v == ["7", "7"] and json.loads(got[0].l) == {"oui": 1, "non": 9} and got[1].v is None
+
+
+def test_projection_follows_the_whole_path(spark):
+    doc = {"a": {"b": {"c": {"k": 5}, "l": [{"d": {"k": "x"}}, {"d": None}, {"d": {"k": {"m": 1}}}]}}, "l": [{"k": 1}, {"k": 2}]}
+    df = spark.createDataFrame([(json.dumps(doc),)], "raw string")
+    path = lambda *steps: F.lit("".join(drift.SEP + s for s in steps))
+    k = F.lit("k")
+    got = df.select(
+        drift.value_at(F.col("raw"), path("a", "b", "c"), k).alias("v"), drift.items_at(F.col("raw"), path("a", "b", "l", "[]", "d"), k).alias("i"),
+        drift.items_at(F.col("raw"), path("l", "[]"), k).alias("j"), drift.items_at(F.col("raw"), path("a", "b", "c"), k).alias("none"),
+    ).first()
+    assert tuple(got) == ("5", ["x", None, '{"m":1}'], ["1", "2"], None)
