@@ -34,13 +34,27 @@ def p8_items(spark: SparkSession, sf: str) -> DataFrame:
     return p8_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
+def _shared(spark: SparkSession, sf: str) -> DataFrame:
+    return shared_spans.shared_runs(table(spark, sf, "documents"), "doc_id", "text")
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return shared_spans.sharing_pairs(shared_spans.shared_windows(table(spark, sf, "documents"), "doc_id", "text"))
+    return shared_spans.sharing_pairs(_shared(spark, sf))
+
+
+def p10_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs of p10_found in compact form: the sets of documents that share a span, one row per member."""
+    return shared_spans.sharing_sets(_shared(spark, sf))
+
+
+def p10_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the shared spans stand and in how many documents."""
+    return shared_spans.shared_spans(_shared(spark, sf))
 
 
 def p10_shared_part(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return shared_spans.shared_part(shared_spans.shared_windows(docs, "doc_id", "text"), docs, "doc_id", "text")
+    return shared_spans.shared_part(_shared(spark, sf), docs, "doc_id", "text")
 
 
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,7 +133,7 @@ def p9_whole_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf, whole=True)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p5_unmatched, p6_found, p6_repaired, p9_mix, p9_shares, p9_whole_mix, p9_whole_shares, p8_found, p8_items, p10_found, p10_shared_part)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p5_unmatched, p6_found, p6_repaired, p9_mix, p9_shares, p9_whole_mix, p9_whole_shares, p8_found, p8_items, p10_found, p10_sets, p10_spans, p10_shared_part)}
 
 
 def _folded(name: str) -> str:
@@ -140,6 +154,9 @@ ORACLES: dict[str, str] = {
     "p8_found": _LEAKS,
     "p8_items": f"select item_id, count(*) as n_documents from ({_LEAKS}) group by item_id",
     "p10_found": f"with {_WINDOWS} select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from s a join s b on a.t = b.t and a.doc_id < b.doc_id",
+    "p10_spans": f"""with {_WINDOWS}, x as (select distinct doc_id, i, docs from s join (select t, list_sort(list(distinct doc_id)) as docs from s group by t) using (t)),
+  y as (select *, case when lag(i) over o = i - 1 and lag(docs) over o = docs then 0 else 1 end as neu from x window o as (partition by doc_id order by i)), z as (select *, sum(neu) over (partition by doc_id order by i) as k from y)
+  select doc_id, min(i) - 1 as debut, max(i) + 249 as fin, any_value(len(docs)) as n_textes from z group by doc_id, k""",
     "p10_shared_part": f"""with {_WINDOWS}, c as (select doc_id, sum(least(250, coalesce(suivant - i, 250))) as n from (select doc_id, i, lead(i) over (partition by doc_id order by i) as suivant from (select distinct doc_id, i from s)) group by doc_id)
   select doc_id, length(text) as n_caracteres, cast(coalesce(n, 0) as bigint) as n_partages, case when length(text) > 0 then coalesce(n, 0) / length(text)::double else 0.0 end as part_partagee from documents left join c using (doc_id)""",
 }

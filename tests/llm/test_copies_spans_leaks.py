@@ -101,7 +101,8 @@ def noise(r, n):
     return "".join(r.choice("abcdefghij klmnopé") for _ in range(n))
 
 
-def test_spans_against_brute_force(spark):
+@pytest.mark.parametrize("limits", [{}, {"hot": 1}, {"hot": 3}, {"hot_members": 1}, {"hot": 2, "hot_members": 2}])
+def test_spans_against_brute_force(spark, limits):
     r = random.Random(2)
     shared = [noise(r, k) for k in (64, 65, 80, 120, 200, 400)]
     docs = []
@@ -112,27 +113,50 @@ def test_spans_against_brute_force(spark):
             cut = r.randint(0, 20) if r.random() < 0.5 else 0
             parts += [p[cut:], noise(r, r.randint(0, 30))]
         docs.append((i, "".join(parts)))
-    docs += [(100, None), (101, ""), (102, "x" * 63), (103, "ab" * 100), (104, "ab" * 60), (105, docs[0][1]), (106, docs[0][1])]
-    df = spark.createDataFrame(docs, "d long, t string").withColumns({"id": F.lit(1), "text": F.lit("clash")})
-    windows = shared_spans.shared_windows(df, "d", "t", 64)
+    alone = noise(r, 150)
+    docs += [(100, None), (101, ""), (102, "x" * 63), (103, "ab" * 100), (104, "ab" * 60), (105, docs[0][1]), (106, docs[0][1]), (107, alone + "-" + alone + "+" + alone)]
+    df = spark.createDataFrame(docs, "d long, t string").withColumns({"id": F.lit(1), "text": F.lit("clash"), "unit": F.lit("clash")})
+    runs = shared_spans.shared_runs(df, "d", "t", 64, **limits)
     expected = brute_pairs(docs, 64)
-    assert expected and {tuple(x) for x in shared_spans.sharing_pairs(windows).collect()} == expected
-    assert {tuple(x) for x in shared_spans.sharing_pairs(windows, hot=2, salts=3).collect()} == expected
-    got = {x.doc_id: x for x in shared_spans.shared_part(windows, df, "d", "t", 64).collect()}
+    assert expected and {tuple(x) for x in shared_spans.sharing_pairs(runs).collect()} == expected
+    assert {tuple(x) for x in shared_spans.sharing_pairs(runs, hot=2, salts=3).collect()} == expected
+    members = defaultdict(set)
+    for x in shared_spans.sharing_sets(runs).collect():
+        members[x.groupe].add(x.doc_id)
+    assert all(len(m) > 1 for m in members.values()) and {(a, b) for m in members.values() for a in m for b in m if a < b} == expected
+    got = {x.doc_id: x for x in shared_spans.shared_part(runs, df, "d", "t", 64).collect()}
     where = defaultdict(set)
     for i, t in docs:
         for s in range(len(t or "") - 63):
             where[t[s : s + 64]].add(i)
+    spans = []
     for i, t in docs:
-        covered = {s + k for s in range(len(t or "") - 63) if len(where[t[s : s + 64]]) > 1 for k in range(64)}
+        sets = [frozenset(where[t[s : s + 64]]) for s in range(len(t or "") - 63)]
+        covered = {s + k for s, w in enumerate(sets) if len(w) > 1 for k in range(64)}
         assert got[i].n_partages == len(covered)
+        heads = [s for s, w in enumerate(sets) if len(w) > 1 and (s == 0 or sets[s - 1] != w)]
+        for s in heads:
+            e = s
+            while e + 1 < len(sets) and sets[e + 1] == sets[s]:
+                e += 1
+            spans.append((i, s, e + 64, len(sets[s])))
+    assert sorted(tuple(x) for x in shared_spans.shared_spans(runs, 64).select("doc_id", "debut", "fin", "n_textes").collect()) == sorted(spans)
+
+
+def test_windows_of_equal_hash_are_compared(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(textbuf.Rolling, "at", lambda self, begin, length: np.zeros(len(begin), np.uint64))
+    which, place, group = shared_spans.window_groups(["abcabcd", "xbcabcd"], 4)
+    texts = [("abcabcd", "xbcabcd")[w][p : p + 4] for w, p in zip(which, place, strict=True)]
+    assert [texts.index(t) for t in texts] == [texts.index(texts[g]) for g in group] and len(set(group.tolist())) == len(set(texts))
 
 
 def test_no_texts_share_nothing(spark):
     df = spark.createDataFrame([], "d long, t string")
-    assert shared_spans.sharing_pairs(shared_spans.shared_windows(df, "d", "t")).count() == 0
+    assert shared_spans.sharing_pairs(shared_spans.shared_runs(df, "d", "t")).count() == 0
     with pytest.raises(ValueError):
-        shared_spans.shared_windows(df, "d", "t", 10)
+        shared_spans.shared_runs(df, "d", "t", 10)
 
 
 # --- leaks -----------------------------------------------------------------------------------------------------------
