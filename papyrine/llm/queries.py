@@ -24,9 +24,17 @@ def p1_counts(spark: SparkSession, sf: str) -> DataFrame:
     return fc.copy_counts(p1_found(spark, sf))
 
 
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_items.leaked_items(table(spark, sf, "documents"), table(spark, sf, "items_evaluation"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    leaks = leaked_items.leaked_items(table(spark, sf, "documents"), table(spark, sf, "items_evaluation"))
-    return leaks.where("n_fenetres_egales > 0").select("doc_id", "item_id").distinct()
+    return _leaks(spark, sf).where("n_fenetres_egales > 0 and mots_passage = 12").select("doc_id", "item_id")
+
+
+def p8_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold an item whole or nearly so, with the similarity of the best window of its length."""
+    return _leaks(spark, sf).where(F.col("similarite") >= leaked_items.SIMILAR).select("doc_id", "item_id", F.round("similarite", 6).alias("similarite"))
 
 
 def p8_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,7 +141,7 @@ def p9_whole_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf, whole=True)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p5_unmatched, p6_found, p6_repaired, p9_mix, p9_shares, p9_whole_mix, p9_whole_shares, p8_found, p8_items, p10_found, p10_sets, p10_spans, p10_shared_part)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p5_unmatched, p6_found, p6_repaired, p9_mix, p9_shares, p9_whole_mix, p9_whole_shares, p8_found, p8_near, p8_items, p10_found, p10_sets, p10_spans, p10_shared_part)}
 
 
 def _folded(name: str) -> str:
