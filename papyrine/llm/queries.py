@@ -102,6 +102,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return _mapped(spark, sf).select("payload_id", "champ", "rang", "ref_id")
 
 
+def p5_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every entry within the distance a value's length allows, not the nearest only."""
+    return _mapped(spark, sf).select("payload_id", "champ", "rang", F.inline("candidats"))
+
+
 def p5_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return reference_list.unmatched(_mapped(spark, sf))
 
@@ -141,7 +146,7 @@ def p9_whole_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf, whole=True)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p5_unmatched, p6_found, p6_repaired, p9_mix, p9_shares, p9_whole_mix, p9_whole_shares, p8_found, p8_near, p8_items, p10_found, p10_sets, p10_spans, p10_shared_part)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p5_candidates, p5_unmatched, p6_found, p6_repaired, p9_mix, p9_shares, p9_whole_mix, p9_whole_shares, p8_found, p8_near, p8_items, p10_found, p10_sets, p10_spans, p10_shared_part)}
 
 
 def _folded(name: str) -> str:

@@ -106,6 +106,37 @@ def test_prefix_by_buckets_equals_a_plain_sort(corpus, targets, spark):
     assert got == expected
 
 
+@pytest.mark.parametrize(("budget", "sent"), [(1, 10), (300, 0), (777, 10), (5000, 0)])
+def test_any_budget_equals_a_plain_sort(corpus, targets, monkeypatch, budget, sent):
+    monkeypatch.setattr(mixing, "FINER", 2)
+    monkeypatch.setattr(mixing, "BUCKETS", 1)
+    monkeypatch.setattr(mixing, "SENT_TARGETS", sent)
+    got = {r.doc_id: r.repetitions for r in mixing.mix_sources(corpus, targets, "doc_id", "source", "text", total_tokens=budget)[0].collect() if r.source == "a"}
+    docs = corpus.where("source = 'a' and doc_id is not null").select("doc_id", "text", mixing.sampling_key(F.col("doc_id"), mixing.quality(F.col("text")), 1).alias("cle"))
+    rows = sorted(mixing.token_counts(docs, "text").collect(), key=lambda r: (r.cle, r.doc_id))
+    rest, before, expected = min(budget * 0.5 / 0.9, sum(r.n_tokens for r in rows)), 0, {}
+    for r in rows:
+        if before + r.n_tokens / 2 <= rest and r.n_tokens:
+            expected[r.doc_id] = 1
+        before += r.n_tokens
+    empty = {r.doc_id for r in rows if not r.n_tokens}
+    assert {k: v for k, v in got.items() if k not in empty} == expected
+
+
+@pytest.mark.parametrize("weight", [0.05, 0.3, 1.0, 50.0])
+def test_no_bucket_holds_much_of_a_source(spark, weight):
+    keys = spark.range(200_000).select(mixing.sampling_key(F.col("id"), F.lit(weight), 1).alias("cle"))
+    rows = mixing.with_buckets(keys).groupBy("bac").agg(F.count("*").alias("n")).collect()
+    fine = mixing.with_buckets(keys).groupBy("bac", "sous").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n
+    assert max(r.n for r in rows) < 0.006 * 200_000 and fine < 10
+
+
+def test_odd_weights(spark, targets):
+    rows = spark.createDataFrame([(i, "a", "mot " * 9, w) for i, w in enumerate([None, 0.0, -1.0, 5.0, 0.5])], "doc_id long, source string, text string, q double")
+    chosen, _ = mixing.mix_sources(rows, targets, "doc_id", "source", "text", total_tokens=10**6, weight=F.col("q"))
+    assert {r.doc_id for r in chosen.collect()} == set(range(5))
+
+
 def test_running_out_is_shown(corpus, targets):
     _, shares = mixing.mix_sources(corpus, targets, "doc_id", "source", "text", total_tokens=10**7)
     for r in shares.collect():
@@ -177,7 +208,22 @@ def test_map_table(spark, monkeypatch):
     got = sorted((r.payload_id or 0, r.champ, r.rang, r.ref_id) for r in rows.collect())
     assert got == [(0, "label", 0, 3), (1, "label", 0, 2), (2, "nom_formation", 0, 0), (2, "nom_formation", 0, 11), (2, "nom_formation", 0, 11), (3, "autre", 0, 0), (3, "nom_formation", 0, 0)]
     assert {(r.champ, r.n) for r in rl.unmatched(rows).collect()} == {("autre", 1), ("nom_formation", 1)}
-    monkeypatch.setattr(rl, "ENTRIES_A_PASS", 3)
-    split = rl.map_to_reference(df, ref).distinct().collect()
-    assert {(r.payload_id or 0, r.champ, r.rang, r.ref_id) for r in split} == set(got)
     assert rl.map_to_reference(df.limit(0), ref).count() == 0
+
+
+#: Titles that need the whole list: levels of one title, the contrary of an entry, an acronym beside a near title.
+FAMILIES = [(20, "nom_formation", "Gestion de projet", None), *((20 + k, "nom_formation", f"Gestion de projet - niveau {k}", f"GP{k}") for k in range(2, 8)), (30, "label", "Satisfait", None), (31, "label", "Insatisfait", None), (32, "label", "Complet", None)]
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3, 5])
+def test_parts_of_a_list_answer_as_the_whole(spark, monkeypatch, limit):
+    typed = ["Gestion de projet", "Gestion de projet niv 3", "gestion projet", "GP4", "stage GP4", "Gestoin de projet - n9", "x" * 5000, "Poterie", "Soins du jardin", "SJ1", "Cuisine de saison", "cspe"]
+    labels = ["Insatisfait", "insatisfaite", "incomplet", "satisfait", "avis/complet", "Sans opinion", "Deçu(e)"]
+    values = [(i, c, k, v) for i, (c, v) in enumerate([("nom_formation", t) for t in typed] + [("label", t) for t in labels] + [(None, "x"), ("autre", "Poterie")]) for k in (0, 0, 1)]
+    df = spark.createDataFrame(values, "payload_id long, champ string, rang int, valeur string")
+    ref = spark.createDataFrame(REFERENCE + FAMILIES, "ref_id int, champ string, libelle string, sigle string")
+    told = lambda: sorted((r.payload_id, r.rang, r.ref_id, tuple(map(tuple, r.candidats))) for r in rl.map_to_reference(df, ref).collect())
+    whole = told()
+    assert len(whole) == len(values) and {r[2] for r in whole if r[0] == 0} == {20} and {r[2] for r in whole if r[0] == 3} == {24}
+    monkeypatch.setattr(rl, "ENTRIES_A_PASS", limit)
+    assert told() == whole
