@@ -9,6 +9,7 @@ on the labelled table of ``pii_table`` (``TRAINING_ROWS`` rows, a parameter), by
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from papyrine.llm import pii_table
 from papyrine.llm.textbuf import column
+from papyrine.worktable import worktable
 
 TRAINING_ROWS = 4000
 KINDS = ("courriel", "telephone", "identite", "adresse", "nom")
@@ -29,8 +31,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: A word is frequent from this share of all words of the corpus on, and from so many occurrences.
 FREQUENT, FREQUENT_LEAST = 2e-5, 4
 BATCH_TEXTS = 512
-#: A find of a telephone of unknown form has so many digits at least; a date has 8.
-PHONE_DIGITS = 9
+#: A stretch left over beside the matches of a find counts from so many figures on.
+LEFT_DIGITS = 6
 
 _AT = r"(?:\s?@\s?|\s?[(\[]\s?(?:at|arobase)\s?[)\]]\s?|\s(?:arobase)\s)"
 _DOT = r"(?:\.|\s?[(\[]\s?(?:point|dot)\s?[)\]]\s?)"
@@ -95,14 +97,25 @@ def tokenise(text: str) -> tuple[list[str], list[int]]:
     return tokens, begins
 
 
-def pattern_marks(text: str, begins: list[int]) -> dict[int, list[str]]:
+#: A text without one of these characters has nothing any pattern matches.
+SOME_FORM = re.compile(r"[\d@(\[]|arobase", re.IGNORECASE)
+
+
+def form_matches(text: str) -> dict[str, list[tuple[int, int]]]:
+    """Where each pattern matches."""
+    if not SOME_FORM.search(text):
+        return {}
+    found = {name: [m.span() for m in pattern.finditer(text)] for name, pattern in PATTERNS.items()}
+    return {name: spans for name, spans in found.items() if spans}
+
+
+def pattern_marks(matches: dict[str, list[tuple[int, int]]], begins: list[int]) -> dict[int, list[str]]:
     """Token index -> marks B/I of the patterns around it."""
     marks: dict[int, list[str]] = {}
-    at = np.array(begins)
-    for name, pattern in PATTERNS.items():
-        for m in pattern.finditer(text):
-            lo, hi = np.searchsorted(at, [m.start(), m.end()])
-            for k in range(int(lo), int(hi)):
+    for name, spans in matches.items():
+        for start, end in spans:
+            lo, hi = bisect_left(begins, start), bisect_left(begins, end)
+            for k in range(lo, hi):
                 marks.setdefault(k, []).append(f"p={name}{'B' if k == lo else 'I'}")
     return marks
 
@@ -119,6 +132,8 @@ class Field:
         self.given: list[np.ndarray] = []
         self.kinds: dict[str, int] = {}
         self.kind_of: list[int] = []
+        self.pairs: dict[tuple, np.ndarray] = {}
+        self.words_of: dict = {}
 
     def names(self, tokens: list[str], known: list[bool], marks: dict[int, list[str]]) -> list[list[str]]:
         each = [token_features(t, k) for t, k in zip(tokens, known, strict=True)]
@@ -150,21 +165,40 @@ class Field:
             self.kind_of.append(self.kinds.setdefault(kind, len(self.kinds)))
         return k
 
-    def scores(self, texts: list[tuple[list[str], list[bool], dict[int, list[str]]]]) -> list[np.ndarray]:
-        """Emission scores of each text of a batch, gathered from the tables of its different words."""
+    def begin_batch(self) -> None:
         if len(self.given) > 100_000:
             self.memo, self.given = {}, []
         if not self.given:
-            self.kinds, self.kind_of = {"": 0}, [0]
+            self.kinds, self.kind_of, self.words_of = {"": 0}, [0], {}
             self.given = [np.stack([self._vector([f"{o}:edge"]) for o in range(-REACH, REACH + 1)])]
+
+    def entries(self, tokens: list[str], frequent: frozenset[str]) -> list[int]:
+        """Numbers of words, told to be frequent or not by the one set of words a process works with."""
+        if self.words_of.get(None) is not frequent:
+            self.words_of = {None: frequent}
+        held, out = self.words_of, []
+        for t in tokens:
+            k = held.get(t)
+            if k is None:
+                k = held[t] = self.entry(t, not t[0].isalpha() or t.lower() in frequent)
+            out.append(k)
+        return out
+
+    def scores(self, texts: list[tuple[list[str], list[bool], dict[int, list[str]]]]) -> list[np.ndarray]:
+        """Emission scores of each text of a batch."""
+        self.begin_batch()
+        return self.emissions([[self.entry(t, k) for t, k in zip(tokens, known, strict=True)] for tokens, known, _ in texts], [m for _, _, m in texts])
+
+    def emissions(self, numbers: list[list[int]], marks: list[dict[int, list[str]]]) -> list[np.ndarray]:
+        """Emission scores of each text, gathered from the tables of its different words."""
         ids, starts = [0] * REACH, []
-        for tokens, known, _ in texts:
+        for text in numbers:
             starts.append(len(ids))
-            ids += [self.entry(t, k) for t, k in zip(tokens, known, strict=True)]
+            ids += text
             ids += [0] * REACH
         ids, n = np.array(ids), len(ids)
-        if n == REACH * (len(texts) + 1):  # no word at all
-            return [np.zeros((0, len(LABELS))) for _ in texts]
+        if n == REACH * (len(numbers) + 1):  # no word at all
+            return [np.zeros((0, len(LABELS))) for _ in numbers]
         different, back = np.unique(ids, return_inverse=True)
         table = np.stack([self.given[k] for k in different])
         total = np.zeros((n, len(LABELS))) + self._vector(["bias"])
@@ -173,18 +207,27 @@ class Field:
             total[inner] += table[back[REACH + o : n - REACH + o], o + REACH]
         kind, names = np.array(self.kind_of)[ids], list(self.kinds)
         for sign, a, b, edge in (("k-", slice(REACH - 1, n - REACH - 1), inner, "^"), ("k+", inner, slice(REACH + 1, n - REACH + 1), "$")):
-            pairs, where = np.unique(np.stack([kind[a], kind[b]]), axis=1, return_inverse=True)
-            vectors = np.stack([self._vector([f"{sign}{names[x] or edge}|{names[y] or edge}"]) for x, y in pairs.T])
-            total[inner] += vectors[where.ravel()]
-        for begin, (tokens, _, marks) in zip(starts, texts, strict=True):
-            for i, found in marks.items():
+            pairs, where = np.unique(kind[a] * len(names) + kind[b], return_inverse=True)
+            total[inner] += np.stack([self._pair(sign, names[x // len(names)] or edge, names[x % len(names)] or edge) for x in pairs.tolist()])[where]
+        for begin, text, found in zip(starts, numbers, marks, strict=True):
+            for i, told in found.items():
                 for o in (-1, 0, 1):  # the mark at i is at distance o of the word at i - o
-                    if 0 <= i - o < len(tokens):
-                        total[begin + i - o] += self._vector(f"{o}:{m}" for m in found)
-        return [total[b : b + len(t[0])] for b, t in zip(starts, texts, strict=True)]
+                    if 0 <= i - o < len(text):
+                        total[begin + i - o] += self._marked(o, tuple(told))
+        return [total[b : b + len(t)] for b, t in zip(starts, numbers, strict=True)]
+
+    def _pair(self, sign: str, left: str, right: str) -> np.ndarray:
+        if (sign, left, right) not in self.pairs:
+            self.pairs[sign, left, right] = self._vector([f"{sign}{left}|{right}"])
+        return self.pairs[sign, left, right]
+
+    def _marked(self, o: int, told: tuple[str, ...]) -> np.ndarray:
+        if (o, told) not in self.pairs:
+            self.pairs[o, told] = self._vector(f"{o}:{m}" for m in told)
+        return self.pairs[o, told]
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}, "given": []}
+        return self.__dict__ | {"memo": {}, "given": [], "pairs": {}, "words_of": {}}
 
 
 ALLOWED = np.zeros((len(LABELS), len(LABELS)), bool)
@@ -250,7 +293,7 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 8, r
             for t, y in zip(tokens, labels.tolist(), strict=True)
         ]
         known = [k and not (t[0].isalpha() and r.random() < 0.04) for k, t in zip(known, tokens, strict=True)]
-        names = field.names(tokens, known, pattern_marks(text, begins))
+        names = field.names(tokens, known, pattern_marks(form_matches(text), begins))
         data.append(([[field.index.setdefault(n, len(field.index)) for n in row] for row in names], labels))
     data = [d for d in data if len(d[1])]
     data.sort(key=lambda d: len(d[1]))
@@ -325,51 +368,75 @@ def decode(field: Field, texts: list[str], frequent: frozenset[str]) -> list[lis
         while size < BATCH_TEXTS and at + size < len(order) and (size + 1) * len(texts[order[at + size]]) < 1 << 18:
             size += 1
         chosen, at = order[at : at + size], at + size
-        part = [tokenise(texts[i]) for i in chosen]
-        known = [[not t[0].isalpha() or t.lower() in frequent for t in tokens] for tokens, _ in part]
-        scores = field.scores([(tokens, k, pattern_marks(texts[i], begins)) for i, (tokens, begins), k in zip(chosen, part, known, strict=True)])
-        for labels, i, (tokens, begins) in zip(viterbi(scores, field.steps, field.first), chosen, part, strict=True):
-            spans: list[list] = []
+        field.begin_batch()
+        part = [TOKEN.findall(texts[i]) for i in chosen]
+        matches = [form_matches(texts[i]) for i in chosen]
+        marks = [pattern_marks(m, tokenise(texts[i])[1]) if m else {} for m, i in zip(matches, chosen, strict=True)]
+        scores = field.emissions([field.entries(tokens, frequent) for tokens in part], marks)
+        for labels, i, tokens, found in zip(viterbi(scores, field.steps, field.first), chosen, part, matches, strict=True):
+            if not labels.any():
+                continue
+            begins, spans = tokenise(texts[i])[1], []
             for k in np.flatnonzero(labels).tolist():
                 y, end = LABELS[labels[k]], begins[k] + len(tokens[k])
                 if y[0] == "I" and spans and k and labels[k - 1]:
                     spans[-1][1] = end
                 else:
                     spans.append([begins[k], end, y[2:]])
-            out[i] = [tuple(s) for s in checked(texts[i], spans)]
+            out[i] = formed(texts[i], spans, found)
     return out
 
 
-def checked(text: str, spans: list[list]) -> Iterator[tuple[int, int, str]]:
-    """Exact check of finds with a form: mail addresses and numbers are what their patterns say, an address has its
-    number; they are given their pattern's ends. A telephone of another form counts by its digits. A name begins behind
-    its titles."""
-    forms = {"courriel": ("mail",), "telephone": ("phone",), "identite": ("nir", "card", "twelve"), "adresse": ("house",)}
+#: Patterns that give a find of a kind its exact ends.
+FORMS = {"courriel": ("mail",), "telephone": ("phone",), "identite": ("nir", "card", "twelve"), "adresse": ("house",)}
+
+
+def formed(text: str, spans: list[list], matches: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, str]]:
+    """Exact ends of the field's finds. Where forms of the kind match inside a find, each match is one find with the form's
+    ends (an address keeps its own end). What is left of the find, and a find without a known form, stays a find as the field has it,
+    if it isn't only a remainder without a figure. An address without any figure is none. A name begins behind its titles."""
+    out: list[tuple[int, int, str]] = []
     for a, b, kind in spans:
-        if kind not in forms:
+        if kind == "nom":
             while (m := TITLED.match(text, a, b)) and m.end() < b:
                 a = m.end()
-            yield a, b, kind
+            out.append((a, b, kind))
             continue
-        for name in forms[kind]:
-            m = next((m for m in PATTERNS[name].finditer(text) if m.start() < b and a < m.end()), None)
-            if m:
-                yield m.start(), max(m.end(), b) if kind == "adresse" else m.end(), kind
-                break
-        else:
-            if kind == "telephone" and sum(c.isdigit() for c in text[a:b]) >= PHONE_DIGITS:
-                yield a, b, kind
+        at, here = a, sorted(m for name in FORMS[kind] for m in matches.get(name, ()) if m[0] < b and a < m[1])
+        for k, (start, end) in enumerate(here):
+            if out and start < out[-1][1] and out[-1][2] == kind:
+                continue
+            out += _left_over(text, at, start, kind, True)
+            if kind == "adresse":
+                end = max(end, here[k + 1][0] if k + 1 < len(here) else b)
+                end -= len(text[start:end]) - len(text[start:end].rstrip(" ,;\n"))
+            out.append((start, end, kind))
+            at = end
+        out += _left_over(text, at, b, kind, bool(here))
+    return out
+
+
+def _left_over(text: str, a: int, b: int, kind: str, beside: bool) -> list[tuple[int, int, str]]:
+    """A stretch of a find that no form covers, from its first to its last letter or figure (or +); ``beside`` a match it needs figures."""
+    if beside and (kind == "adresse" or sum(c.isdigit() for c in text[a:b]) < LEFT_DIGITS):
+        if not (kind == "courriel" and "@" in text[a:b]):
+            return []
+    if kind == "adresse":
+        a = next((i for i in range(a, b) if text[i].isdigit()), b)
+    while a < b and not (text[a].isalnum() or text[a] == "+"):
+        a += 1
+    while b > a and not text[b - 1].isalnum():
+        b -= 1
+    return [(a, b, kind)] if a < b else []
 
 
 def frequent_words(df: DataFrame, text_col: str) -> frozenset[str]:
     """Words that make up at least ``FREQUENT`` of all words, so at most ``1 / FREQUENT`` of them, counted over all texts."""
     words = df.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"([\p{L}]+)"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = worktable(words.where(F.col("n") > 0), "p4-words")
     total = words.agg(F.sum("n").alias("n")).first().n or 0
     least = max(FREQUENT_LEAST, FREQUENT * total)
-    return frozenset(r.w for r in words.where(F.col("n") >= least).select("w").collect())
-
-
-FOUND = [("id", pa.int64()), ("texte", pa.string()), ("genre", pa.string()), ("debut", pa.int32()), ("fin", pa.int32())]
+    return frozenset(words.where(F.col("n") >= least).select("w").toArrow().column(0).to_pylist())
 
 
 def _recognise(shared):
@@ -404,6 +471,6 @@ def personal_data(df: DataFrame, id_col: str, text_col: str, rows: int = TRAININ
     Rows that come twice are answered twice. Other columns are not read.
     """
     spark = df.sparkSession
-    source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("texte"))
+    source = worktable(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("texte")), "p4-texts")
     shared = spark.sparkContext.broadcast((trained(rows), frequent_words(source, "texte")))
     return source.mapInArrow(_recognise(shared), "id long, texte_masque string, donnees array<struct<genre:string,debut:int,fin:int>>")

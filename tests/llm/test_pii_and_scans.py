@@ -35,10 +35,27 @@ def test_telephones_with_slashes():
     assert pii.mask(texts[0], found[0]) == "sms possible : [TELEPHONE], le soir"
 
 
-@pytest.mark.parametrize(("text", "kept"), [("639 98 11 18", True), ("+32 470 12 34 56", True), ("12/03/2025", False), ("17 h", False)])
-def test_telephone_of_unknown_form_counts_by_digits(text, kept):
-    whole = f"joignable au {text}"
-    assert list(pii.checked(whole, [[13, len(whole), "telephone"]])) == [(13, len(whole), "telephone")] * kept
+@pytest.mark.parametrize(
+    ("text", "kind", "finds"),
+    [
+        ("639 98 11 18", "telephone", ["639 98 11 18"]), ("+32 470 12 34 56", "telephone", ["+32 470 12 34 56"]), ("06 12 34 56 78 06 98 76 54 32", "telephone", ["06 12 34 56 78", "06 98 76 54 32"]),
+        ("06 12 34 56 78 / +32 475 12 34 56", "telephone", ["06 12 34 56 78", "+32 475 12 34 56"]), ("06 12 34 56 78 poste 12", "telephone", ["06 12 34 56 78"]),
+        ("a.b@exemple.fr c.d@exemple.fr", "courriel", ["a.b@exemple.fr", "c.d@exemple.fr"]), ("a.b chez exemple", "courriel", ["a.b chez exemple"]), ("12 venelle du Four", "adresse", ["12 venelle du Four"]),
+        ("rue du Four", "adresse", []), ("12 rue du Four, 14 rue du Moulin", "adresse", ["12 rue du Four", "14 rue du Moulin"]), ("AB-12-CD", "identite", ["AB-12-CD"]),
+    ],
+)
+def test_a_find_is_kept_whether_or_not_its_form_is_known(text, kind, finds):
+    whole = f"noter ({text}) ici"
+    found = pii.formed(whole, [[7, 7 + len(text), kind]], pii.form_matches(whole))
+    assert [(whole[a:b], k) for a, b, k in found] == [(f, kind) for f in finds]
+
+
+@pytest.mark.parametrize(("text", "hidden"), [
+    ("me rappeler au 06 12 34 56 78 06 98 76 54 32", "0123456789"), ("écrire à paul.durand@exemple.fr l.petit@exemple.fr", "@"), ("joignable au +32 475 12 34 56", "0123456789"), ("j'habite 12 venelle du Four", "12"),
+])
+def test_nothing_is_left_in_clear(text, hidden):
+    masked = pii.mask(text, pii.decode(pii.trained(), [text], frequent([text], 1))[0])
+    assert not set(hidden) & set(masked)
 
 
 def test_viterbi_equals_brute_force():
@@ -63,7 +80,7 @@ def test_scores_from_tables_equal_plain_features():
     for text in ("Merci à M. Paul Durand, 06 12 34 56 78", "x", "", "j'habite 12 rue du Four"):
         tokens, begins = pii.tokenise(text)
         known = [t.islower() for t in tokens]
-        marks = pii.pattern_marks(text, begins)
+        marks = pii.pattern_marks(pii.form_matches(text), begins)
         plain = [field._vector(row) for row in field.names(tokens, known, marks)]
         assert np.allclose(field.scores([(tokens, known, marks)])[0], np.array(plain).reshape(len(tokens), len(pii.LABELS)))
 
