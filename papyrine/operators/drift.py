@@ -1,9 +1,10 @@
 """Problem 7: schemas that drift between files.
 
 Every file is summed up to a small tree: which keys stand where, with how many values of which JSON type and of which
-shapes. Successive trees of a sender are compared by tree edit distance: children of matched nodes are matched
-at least cost (optimal assignment), where a match costs by how far names, types and shapes differ, and an unmatched
-node costs a delete or an add. Subtrees left over on both sides are then matched as moves. The script gives the
+shapes. Successive trees of a sender are compared by tree edit distance: equal keys under matched nodes are matched, the other
+children at least cost (optimal assignment), where a match costs by how far names, types and shapes differ and what turning one
+subtree into the other costs, and an unmatched node costs a delete or an add for itself and all below it. Declared fields left over
+are then looked for among all added nodes as moves, under their name or a like one. The script gives the
 report of changes and, per file, the key under which each declared field stands, which is compiled into a projection.
 """
 
@@ -14,20 +15,22 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from papyrine.worktable import worktable
+
 SEP = "\x1f"
 EACH = "[]"
-#: Longest shape that is told apart.
-SHAPE = 16
 
 ADD = DELETE = 1.0
-#: A match dearer than this is no match: deleting and adding costs less.
-MOST = 1.6
+#: A match dearer than this share of deleting the one subtree and adding the other is no match.
+MOST = 0.8
 
 
 @dataclass(eq=False)
@@ -44,6 +47,14 @@ class Node:
         """The JSON type most values have; ties go to the first in alphabetical order."""
         return min(self.types, key=lambda t: (-self.types[t], t)) if self.types else None
 
+    def size(self) -> int:
+        return 1 + sum(c.size() for c in self.children.values())
+
+    def below(self) -> Iterator["Node"]:
+        for c in self.children.values():
+            yield c
+            yield from c.below()
+
 
 def json_type(v: object) -> str:
     if isinstance(v, bool):
@@ -51,47 +62,63 @@ def json_type(v: object) -> str:
     return {str: "string", int: "number", float: "number", dict: "object", list: "array"}[type(v)]
 
 
+_LETTERS, _FIGURES, _WORDS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"a(?:[ ,;:'’.-]+a\b)+")
+
+
+@lru_cache(maxsize=100_000)
+def text_shape(v: str) -> str:
+    """Runs of letters as a, of digits as 0, runs of words as a+; the whole text is read."""
+    return "s:" + _WORDS.sub("a+", _LETTERS.sub("a", _FIGURES.sub("0", v)))
+
+
 def shape(v: object) -> str:
-    """What a value looks like: runs of letters as a, of digits as 0, the keys of an object, the first element of an array."""
+    """What a value looks like: the shape of a text, the keys of an object, the first element of an array."""
     if isinstance(v, str):
-        return "s:" + re.sub(r"[^\W\d_]+", "a", re.sub(r"\d+", "0", v[: 8 * SHAPE]))[:SHAPE]
+        return text_shape(v) if len(v) < 200 else text_shape.__wrapped__(v)
     if isinstance(v, bool):
         return "b"
     if isinstance(v, float):
-        return "n:0.0" if v != int(v) or abs(v) < 10 else "n:0"
+        return "n:0.0" if v != v or abs(v) < 10 or v != v // 1 else "n:0"
     if isinstance(v, int):
         return "n:0"
     if isinstance(v, dict):
-        return "o:" + ",".join(sorted(v))[: 4 * SHAPE]
+        return "o:" + ",".join(sorted(v))
     return "a:" + (shape(v[0]) if v else "")
 
 
-def _facts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_KINDS = {str: "string", int: "number", float: "number", dict: "object", list: "array", bool: "boolean"}
+
+
+def _facts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: Counter = Counter()
+        counts: dict[tuple, dict[tuple, int]] = {}
 
-        def walk(v: dict, path: str, at: tuple, counts: Counter = counts) -> None:
+        def walk(v: dict, path: str, held: dict[tuple, int]) -> None:
             for k, x in v.items():
                 if x is None:
                     continue
-                counts[(*at, path, k, json_type(x), shape(x))] += 1
-                below = path + SEP + k
+                key = (path, k, _KINDS[type(x)], shape(x))
+                held[key] = held.get(key, 0) + 1
                 if isinstance(x, dict):
-                    walk(x, below, at)
+                    walk(x, path + SEP + k, held)
                 elif isinstance(x, list):
+                    below = path + SEP + k + SEP + EACH
                     for e in x:
                         if isinstance(e, dict):
-                            walk(e, below + SEP + EACH, at)
+                            walk(e, below, held)
 
-        for flux, rang, raw in zip(batch["flux"], batch["rang"], batch["raw"], strict=True):
+        for flux, rang, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             try:
                 doc = json.loads(raw)
-            except (ValueError, TypeError):
+            except ValueError:
                 continue
             if isinstance(doc, dict):
-                counts[(flux, rang, "", "", "object", "")] += 1  # the file exists even if all its values are null
-                walk(doc, "", (flux, rang))
-        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["flux", "rang", "parent", "cle", "type", "forme", "n"])
+                held = counts.setdefault((flux, rang), {})
+                held["", "", "object", ""] = held.get(("", "", "object", ""), 0) + 1  # the file exists even if all its values are null
+                walk(doc, "", held)
+        rows = [(*at, *key, n) for at, held in counts.items() for key, n in held.items()]
+        types = [pa.string(), pa.int32(), *[pa.string()] * 4, pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=["flux", "rang", "parent", "cle", "type", "forme", "n"])
 
 
 FACTS_DDL = "flux string, rang int, parent string, cle string, type string, forme string, n long"
@@ -100,7 +127,7 @@ FACTS_DDL = "flux string, rang int, parent string, cle string, type string, form
 def file_facts(df: DataFrame, flux: str, rang: str, raw: str) -> DataFrame:
     """How often each file has a non-null value at each place: (flux, rang, parent, cle, type, forme, n)."""
     source = df.select(F.col(flux).alias("flux"), F.col(rang).cast("int").alias("rang"), F.col(raw).alias("raw")).where("flux is not null and rang is not null and raw is not null")
-    facts = source.mapInPandas(_facts, FACTS_DDL)
+    facts = source.mapInArrow(_facts, FACTS_DDL)
     return facts.groupBy("flux", "rang", "parent", "cle", "type", "forme").agg(F.sum("n").alias("n"))
 
 
@@ -186,52 +213,73 @@ def assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
-def edit_script(a: Node, b: Node) -> tuple[float, list[tuple[str, Node, Node]], list[Node], list[Node]]:
-    """(cost, matched pairs, deleted, added) of the cheapest edit of the children of ``a`` into those of ``b``."""
-    same = [k for k in a.children if k in b.children]
+Memo = dict[tuple[int, int], float]
+
+
+def _pairing(a: Node, b: Node, memo: Memo) -> tuple[list[tuple[Node, Node]], list[Node], list[Node]]:
+    """(matched children, deleted, added) of the cheapest edit of the children of ``a`` into those of ``b``."""
+    pairs = [(n, b.children[k]) for k, n in a.children.items() if k in b.children]
     left = [n for k, n in a.children.items() if k not in b.children]
     right = [n for k, n in b.children.items() if k not in a.children]
-    pairs = [(a.children[k], b.children[k]) for k in same]
-    cost, gone, come = 0.0, list(left), list(right)
-    if left and right:
-        size = len(left) + len(right)
-        grid = [[0.0] * size for _ in range(size)]
-        for i in range(size):
-            for j in range(size):
-                if i < len(left) and j < len(right):
-                    c = match_cost(left[i], right[j])
-                    grid[i][j] = c if c <= MOST else ADD + DELETE + 1
-                elif i < len(left):
-                    grid[i][j] = DELETE
-                elif j < len(right):
-                    grid[i][j] = ADD
-        for i, j in enumerate(assign(grid)):
-            if i < len(left) and j < len(right) and grid[i][j] <= MOST:
-                pairs.append((left[i], right[j]))
-                gone.remove(left[i])
-                come.remove(right[j])
-    cost += DELETE * len(gone) + ADD * len(come)
-    matched = []
+    if not left or not right:
+        return pairs, left, right
+    size = len(left) + len(right)
+    never = DELETE * sum(n.size() for n in left) + ADD * sum(n.size() for n in right) + 1
+    grid = [[0.0] * size for _ in range(size)]
+    for i in range(size):
+        for j in range(size):
+            if i < len(left) and j < len(right):
+                x, y = left[i], right[j]
+                whole = DELETE * x.size() + ADD * y.size() if x.children and y.children else DELETE + ADD
+                cost = distance(x, y, memo)
+                grid[i][j] = cost if cost <= MOST * whole else never
+            elif i < len(left):
+                grid[i][j] = DELETE * left[i].size()
+            elif j < len(right):
+                grid[i][j] = ADD * right[j].size()
+    chosen = [(i, j) for i, j in enumerate(assign(grid)) if i < len(left) and j < len(right) and grid[i][j] < never]
+    gone, come = {i for i, _ in chosen}, {j for _, j in chosen}
+    return pairs + [(left[i], right[j]) for i, j in chosen], [n for i, n in enumerate(left) if i not in gone], [n for j, n in enumerate(right) if j not in come]
+
+
+def distance(a: Node, b: Node, memo: Memo) -> float:
+    """Cost of turning the subtree of ``a`` into that of ``b``. What a value holds that was none before, or is none any more,
+    belongs to the change of its type."""
+    key = (id(a), id(b))
+    if key not in memo:
+        pairs, gone, come = _pairing(a, b, memo) if a.children and b.children else ([], [], [])
+        memo[key] = match_cost(a, b) + sum(distance(x, y, memo) for x, y in pairs) + DELETE * sum(n.size() for n in gone) + ADD * sum(n.size() for n in come)
+    return memo[key]
+
+
+def edit_script(a: Node, b: Node, memo: Memo | None = None) -> tuple[list[tuple[Node, Node]], list[Node]]:
+    """(matched pairs, tops of added subtrees) of the edit of ``a`` into ``b``; what isn't matched is deleted."""
+    memo = {} if memo is None else memo
+    pairs, _, come = _pairing(a, b, memo)
+    matched = list(pairs)
     for x, y in pairs:
-        cost += match_cost(x, y)
-        matched.append(("match", x, y))
-        below, inner, g, c = edit_script(x, y)
-        cost += below
+        inner, more = edit_script(x, y, memo)
         matched += inner
-        gone += g
-        come += c
-    return cost, matched, gone, come
+        come += more
+    return matched, come
 
 
 def moves(gone: list[Node], come: list[Node]) -> list[tuple[Node, Node]]:
-    """Nodes deleted in one place and added in another with the same name: moved."""
-    out = []
-    for x in gone:
-        if x.declared:
-            y = next((y for y in come if y.name == x.name and shape_distance(x, y) < 0.5), None)
-            if y is not None:
-                out.append((x, y))
-                come.remove(y)
+    """Declared fields deleted in one place and added in another: under the same name with values of which half look alike, or, if the
+    last file had the field, under a name with a word in common and values that look alike. The nearest pairs first."""
+    added = [y for top in come for y in (top, *top.below())]
+    told = []
+    for i, x in enumerate(gone):
+        for j, y in enumerate(added):
+            names, shapes = name_distance(x.name, y.name), shape_distance(x, y)
+            if y.types and (x.name == y.name and shapes < 0.5 or x.present and names < 1.0 and shapes <= 0.3):
+                told.append((names + shapes, i, j))
+    out, left, right = [], set(), set()
+    for _, i, j in sorted(told):
+        if i not in left and j not in right:
+            left.add(i)
+            right.add(j)
+            out.append((gone[i], added[j]))
     return out
 
 
@@ -260,8 +308,9 @@ def follow(schema: T.StructType, declared: dict[str, tuple[str, str]], profile:
     changes, places = [], []
     for k, rang in enumerate(sorted(files)):
         new = files[rang]
-        _, matched, gone, come = edit_script(state, new)
-        heir = {id(x): y for _, x, y in matched} | {id(x): y for x, y in moves(gone, come)}
+        matched, come = edit_script(state, new)
+        heir = {id(x): y for x, y in matched}
+        heir |= {id(x): y for x, y in moves([x for x in tracked.values() if id(x) not in heir], come)}
         for name, old in list(tracked.items()):
             now = heir.get(id(old))
             if now is not None and not now.types:
@@ -313,8 +362,9 @@ def follow_schemas(facts: DataFrame, schema: T.StructType, declared: dict[str, t
     """(flux, rang, champ, changement, avant, apres) and, with changement 'place', where each present field of a file
     stands: avant is its parent path, apres its key.
 
-    The unit of work is a sender's files as trees, whose size doesn't depend on the number of records.
+    The unit of work is a sender's files as trees, whose size doesn't depend on the number of records. The documents are read once.
     """
+    facts = worktable(facts, "p7-facts")
     at = F.array_compact(F.array(*(F.when((F.col("parent") == parent) & (F.col("cle") == key), F.lit(name)) for name, (parent, key) in declared.items())))
     # A sender only needs to know of its own shapes whether they are a field's. The empty shape, which every file has at
     # its root, tells that the field has any.

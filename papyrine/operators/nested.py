@@ -1,8 +1,9 @@
 """Problem 2: deeply nested records as related flat tables, by Dewey labels.
 
 A node's label is the list of ordinals on its way from the record: the position of a field in its struct (from 1)
-or the index of an element in its array (from 0). A table is the set of nodes with the same schema path; a node's
-parent is found by cutting its label to the length the parent table's labels have. All native, one pass, no shuffle.
+or the index of an element in its array (from 0); a map is the array of its entries (key, value) in the order of their keys. A table is the set of nodes
+with the same schema path; a node's parent is found by cutting its label to the length the parent table's labels have, down to the
+record itself, whose label is empty. All native, one pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class ArrayPath:
-    """An array of the schema. ``steps`` are field names, with ``None`` for 'each element'; the last is None."""
+    """An array or map of the schema. ``steps`` are field names, with ``None`` for 'each element'; the last is None."""
 
     steps: tuple[str | None, ...]
     element: T.DataType = field(compare=False)
@@ -33,18 +34,24 @@ class ArrayPath:
         return ".".join(s for s in self.steps if s)
 
 
+def _element(kind: T.ArrayType | T.MapType) -> T.DataType:
+    if isinstance(kind, T.MapType):
+        return T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+    return kind.elementType
+
+
 def array_paths(schema: T.StructType) -> list[ArrayPath]:
-    """Every array of the schema, outer before inner, in declared order."""
+    """Every array and map of the schema, outer before inner, in declared order."""
     found: list[ArrayPath] = []
 
     def walk(kind: T.DataType, steps: tuple, parent: tuple, parent_size: int) -> None:
         if isinstance(kind, T.StructType):
             for f in kind.fields:
                 walk(f.dataType, (*steps, f.name), parent, parent_size)
-        elif isinstance(kind, T.ArrayType):
-            here = (*steps, None)
-            found.append(ArrayPath(here, kind.elementType, len(here), parent, parent_size))
-            walk(kind.elementType, here, here, len(here))
+        elif isinstance(kind, (T.ArrayType, T.MapType)):
+            here, element = (*steps, None), _element(kind)
+            found.append(ArrayPath(here, element, len(here), parent, parent_size))
+            walk(element, here, here, len(here))
 
     walk(schema, (), (), 0)
     return found
@@ -60,7 +67,9 @@ def _elements(col: Column, kind: T.DataType, steps: tuple, label: Column, found:
     if head is not None:
         inner = kind[head].dataType
         return _elements(col[head], inner, rest, F.concat(label, F.array(F.lit(_ordinal(kind, head)))), found, leaf)
-    inner = kind.elementType
+    inner = _element(kind)
+    if isinstance(kind, T.MapType):
+        col = F.array_sort(F.map_entries(col), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))
     if not rest:
         labelled = F.transform(col, lambda x, i: F.when(x.isNotNull(), leaf(x, F.concat(label, F.array(i)), i)))
         return F.filter(labelled, lambda x: x.isNotNull())
@@ -96,7 +105,7 @@ def flat_table(df: DataFrame, key: str, path: str) -> DataFrame:
     """The table of one array: key, ``dewey``, ``parent``, ``rang`` and a column for every scalar of its elements.
 
     Scalars of structs inside an element are named ``struct_field``; a name that would clash gets ``_`` behind it.
-    Arrays inside an element are tables of their own. An array of scalars has the column ``valeur``.
+    Arrays and maps inside an element are tables of their own. An array of scalars has the column ``valeur``, a map ``key`` and ``value``.
     """
     root = T.StructType([f for f in df.schema.fields if f.name != key])
     p = next((p for p in array_paths(root) if p.path == path), None)
@@ -105,24 +114,36 @@ def flat_table(df: DataFrame, key: str, path: str) -> DataFrame:
     top = p.steps[0]
     leaf = lambda x, label, i: F.struct(label.alias("dewey"), F.slice(label, 1, p.parent_size).alias("parent"), i.alias("rang"), x.alias("noeud"))
     rows = df.select(F.col(f"`{key}`"), F.inline(_elements(F.col(f"`{top}`"), root[top].dataType, p.steps[1:], F.array(F.lit(_ordinal(root, top))), None, leaf)))
-    taken = {key, "dewey", "parent", "rang"}
-    columns = []
+    columns = _scalars(F.col("noeud"), p.element, {key, "dewey", "parent", "rang"})
+    return rows.select(F.col(f"`{key}`"), "dewey", "parent", "rang", *columns)
+
+
+def _scalars(col: Column | None, kind: T.DataType, taken: set[str]) -> list[Column]:
+    """Every scalar of a value that isn't inside an array or a map, ``None`` for the record itself."""
+    columns: list[Column] = []
 
-    def scalars(col: Column, kind: T.DataType, name: str) -> None:
+    def add(col: Column | None, kind: T.DataType, name: str) -> None:
         if isinstance(kind, T.StructType):
             for f in kind.fields:
-                scalars(col[f.name], f.dataType, f"{name}_{f.name}" if name else f.name)
-        elif not isinstance(kind, T.ArrayType):
+                add(F.col(f"`{f.name}`") if col is None else col[f.name], f.dataType, f"{name}_{f.name}" if name else f.name)
+        elif not isinstance(kind, (T.ArrayType, T.MapType)):
             name = name or "valeur"
             while name in taken:
                 name += "_"
             taken.add(name)
             columns.append(col.alias(name))
 
-    scalars(F.col("noeud"), p.element, "")
-    return rows.select(F.col(f"`{key}`"), "dewey", "parent", "rang", *columns)
+    add(col, kind, "")
+    return columns
+
+
+def record_table(df: DataFrame, key: str) -> DataFrame:
+    """The table of the records themselves: key and every scalar outside arrays and maps, those of structs as ``struct_field``.
+    A null struct gives nulls. Children of a record have an empty ``parent``."""
+    root = T.StructType([f for f in df.schema.fields if f.name != key])
+    return df.select(F.col(f"`{key}`"), *_scalars(None, root, {key}))
 
 
 def flat_tables(df: DataFrame, key: str) -> dict[str, DataFrame]:
-    """All tables of ``df`` by path."""
-    return {p.path: flat_table(df, key, p.path) for p in array_paths(T.StructType([f for f in df.schema.fields if f.name != key]))}
+    """All tables of ``df`` by path; the records themselves have the empty path."""
+    return {"": record_table(df, key), **{p.path: flat_table(df, key, p.path) for p in array_paths(T.StructType([f for f in df.schema.fields if f.name != key]))}}

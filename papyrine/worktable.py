@@ -1,7 +1,7 @@
 """Materialised intermediate results in the folder all executors share.
 
-``spark.checkpoint.dir`` names the folder. Where it is unset (unit tests on one machine) a fresh
-temporary folder is used. A work table is plain parquet, so a lost executor costs nothing but the
+``spark.checkpoint.dir`` names the folder. Where it is unset, a fresh temporary folder is used if the session runs
+on one machine; a cluster must name a folder its executors share. A work table is plain parquet, so a lost executor costs nothing but the
 tasks it was running, and readers prune its columns.
 """
 
@@ -18,10 +18,12 @@ _WRITTEN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; one of our own only where the session names none."""
+    """Folder of ``spark.checkpoint.dir``; one of our own only where a session on one machine names none."""
     set_by_session = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_by_session:
         return set_by_session.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="papyrine-")

@@ -3,7 +3,9 @@ from __future__ import annotations
 import itertools
 import json
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from papyrine.operators import drift
@@ -58,6 +60,43 @@ def test_moved_field(spark):
     assert found(spark, [(1, record()), (2, moved)]) == set()
 
 
+def test_moved_and_renamed_field(spark):
+    moved = record(version=None)
+    moved["intervenants"]["numero_version"] = "v2.1"
+    assert found(spark, [(1, record()), (2, moved)]) == {(2, "version_prompt", "renommage")}
+
+
+def test_moved_into_a_new_section(spark):
+    moved = record(late=None) | {"suivi": {"bilan": {"retards_apprenants": {"oui": 2, "non": 7}}}}
+    assert found(spark, [(1, record()), (2, moved)]) == set()
+
+
+def test_section_and_its_field_renamed_together(spark):
+    doc = record()
+    doc["formateurs"] = {"commentaire_organisation_generale": "un mot", "retards": {"oui": 1, "non": 9}}
+    del doc["intervenants"]
+    assert found(spark, [(1, record()), (2, doc)]) == {(2, "retards_apprenants", "renommage")}
+
+
+def test_distance_counts_subtrees():
+    def node(name, *children, kind="object"):
+        n = drift.Node(name, types=Counter({kind: 1}), shapes=Counter({"o:" + ",".join(sorted(c.name for c in children)) if children else "s:a": 1}))
+        n.children = {c.name: c for c in children}
+        return n
+
+    leaf = lambda x: node(x, kind="string")
+    a = node("", node("xyz", leaf("un"), leaf("deux"), leaf("trois")), leaf("quatre"))
+    b = node("", node("foo", leaf("un"), leaf("deux"), leaf("trois"), leaf("cinq")), node("bar", leaf("zwei")))
+    matched, come = drift.edit_script(a, b)
+    assert {(x.name, y.name) for x, y in matched} == {("xyz", "foo"), ("un", "un"), ("deux", "deux"), ("trois", "trois")} and {n.name for n in come} == {"bar", "cinq"}
+    assert drift.distance(a, a, {}) == 0 and drift.distance(a, b, {}) == pytest.approx(2 + 1 + 1 + 2)
+
+
+def test_shapes_are_of_the_whole_text():
+    assert drift.shape("v2.1") == "s:a0.0" and drift.shape("17 votants") == "s:0 a" and drift.shape("Un mot, puis d'autres. " * 900 + "9") == "s:a+. 0"
+    assert drift.shape({f"k{i:04}": 1 for i in range(200)}) != drift.shape({f"k{i:04}": 1 for i in range(199)})
+
+
 def test_many_shapes_of_one_field_do_not_push_out_those_of_another(spark):
     many = [(1, "a", 1, json.dumps(record(version=("version_prompt", f"{k:b}".replace("0", "-").replace("1", ".")), votes=("nb_votants", "4_b")))) for k in range(700)]
     rows = [(k, *x) for k, (_, *x) in enumerate(many * 2)] + [(2000, "c", 1, json.dumps(record(late=("retards_apprenants", ["x", 1])))) ]
