@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyrine.functions.scalar import cell, lenient_float, let, truthy_coalesce, votes_text
+from papyrine.functions.scalar import cell, lenient_float, let, one_decimal, parse_float, truthy_coalesce, votes_number, votes_text
 from papyrine.schema import ANSWERS, LABELS, MODES, PAYLOAD
 
 #: Spellings of satisfaction labels and what they stand for.
@@ -51,21 +55,61 @@ def legacy_distribution(raw: Column) -> Column:
     return F.array(*(item(k) for k in "54321"))
 
 
+def _array(text: Column) -> Column:
+    """JSON texts of the elements of a JSON array, keys sorted; null for anything else."""
+    return F.transform(F.try_variant_get(F.try_parse_json(text), "$", "array<variant>"), lambda e: F.coalesce(F.to_json(e), F.lit("null")))
+
+
+def _with(text: Column, key: str, value: Column) -> Column:
+    """A JSON object with ``key`` set to the JSON text ``value``; without a value it stays as it is."""
+    kept = F.map_filter(F.from_json(text, "map<string,variant>"), lambda k, _: k != key)
+    return F.when(value.isNull(), text).otherwise(F.to_json(F.map_concat(kept, F.create_map(F.lit(key), F.parse_json(value)))))
+
+
+def canonical_labels(items: Column) -> Column:
+    """A JSON array of satisfaction items with the labels their spellings stand for; items that are no objects stay."""
+
+    def one(item: Column) -> Column:
+        label = F.get_json_object(item, "$.label")
+        meant = F.try_element_at(F.create_map(*[F.lit(x) for kv in LABEL_MAP.items() for x in kv]), label)
+        return F.when(meant.isNotNull(), _with(item, "label", F.concat(F.lit('"'), meant, F.lit('"')))).otherwise(item)
+
+    return F.concat(F.lit("["), F.array_join(F.transform(_array(items), one), ",", "null"), F.lit("]"))
+
+
+def filled_percentages(items: Column, total: Column) -> Column:
+    """A JSON array of distribution items, where an item without percentage whose level reads "n votants" gets n over the total,
+    with one decimal. Without a total nothing is filled."""
+
+    def one(item: Column) -> Column:
+        level = F.try_element_at(F.filter(F.json_object_keys(item), lambda k: k.startswith("echele ")), F.lit(1))
+        votes = votes_number(F.try_element_at(F.from_json(item, "map<string,string>"), level))
+        share = one_decimal(votes / F.nullif(total, F.lit(0.0)) * 100)
+        return F.when(F.get_json_object(item, "$.pourcentage").isNull() & share.isNotNull(), _with(item, "pourcentage", share)).otherwise(item)
+
+    return F.concat(F.lit("["), F.array_join(F.transform(_array(items), one), ",", "null"), F.lit("]"))
+
+
 def legacy_to_current(df: DataFrame, raw: str) -> DataFrame:
     """``df`` with ``v2``, the record in the current layout as a JSON text, and ``etait_v2``.
 
-    A record that already has the current layout is passed on with its version stamped. Null raw gives null.
+    Of a record in either layout satisfaction labels become the canonical ones, missing percentages are filled from votes
+    and the version is stamped. Null raw and a text that is no JSON object give null.
     """
-    r = F.col(raw)
-    voters = truthy_coalesce(T.DoubleType(), _get(r, "$.pre_formation.souhaitez_vous_suivre.voters_total").try_cast("double"), _get(r, "$.pre_formation.souhaitez_vous_suivre.votants").try_cast("double"))
+    r = F.when(F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(raw))), F.lit("")).startswith("OBJECT"), F.col(raw))
+    told = truthy_coalesce(_TEXT, *(F.nullif(_get(r, f"$.pre_formation.souhaitez_vous_suivre.{k}"), F.lit("0")) for k in ("voters_total", "votants")))
+    voters = parse_float(told)
     pick = lambda *paths: truthy_coalesce(_TEXT, *(_get(r, p) for p in paths))
     variant = lambda c: F.try_parse_json(c)
     asjson = lambda *paths: variant(truthy_coalesce(_TEXT, *(F.when(~F.coalesce(_get(r, p), F.lit("")).isin("[]", "{}", "0"), _get(r, p)) for p in paths)))
     number = lambda *paths: truthy_coalesce(T.DoubleType(), *(_get(r, p).try_cast("double") for p in paths))
-    scale = F.transform(legacy_distribution(r), lambda d: F.map_from_arrays(F.array(F.concat(F.lit("echele "), d["niveau"]), F.lit("pourcentage")), F.array(d["texte"], d["pourcentage"].cast("string"))))
+    number_text = lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x.cast("string"))
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    item = lambda d: F.concat(F.lit('{"echele '), d["niveau"], F.lit('":'), F.coalesce(quoted(d["texte"]), F.lit("null")), F.lit(',"pourcentage":'), F.coalesce(number_text(d["pourcentage"]), F.lit("null")), F.lit("}"))
+    scale = F.concat(F.lit("["), F.array_join(F.transform(legacy_distribution(r), item), ","), F.lit("]"))
     pre = F.struct(
-        F.struct(F.when(voters != 0, voters).cast("bigint").alias("nb votants")).alias("volonte_suivi_formation"),
-        scale.alias("souhaitez_vous_suivre_distribution"),
+        F.struct(F.coalesce(F.try_parse_json(told), F.try_parse_json(quoted(told))).alias("nb votants")).alias("volonte_suivi_formation"),
+        F.parse_json(filled_percentages(scale, voters)).alias("souhaitez_vous_suivre_distribution"),
         asjson("$.pre_formation.sujets_a_aborder", "$.pre_formation.demande_sujets_a_aborder").alias("demande_sujets_a_aborder"),
         F.struct(
             pick("$.pre_formation.maitrise_objectifs.mode", "$.pre_formation.maitrise_objectifs_preformation.mode").alias("mode"),
@@ -77,7 +121,7 @@ def legacy_to_current(df: DataFrame, raw: str) -> DataFrame:
         _get(r, "$.a_chaud.maitrise_objectifs.mode").alias("mode"), variant(_get(r, "$.a_chaud.maitrise_objectifs.par_objectif")).alias("par_objectif"),
         _get(r, "$.a_chaud.maitrise_objectifs.note_globale_objectifs_sur_10").try_cast("double").alias("note_globale_objectifs_a_chaud")))
     hot = F.struct(
-        variant(_get(r, "$.a_chaud.profitable")).alias("formation_profitable"), variant(_get(r, "$.a_chaud.satisfaction_contenu")).alias("satisfaction_contenu"),
+        variant(_get(r, "$.a_chaud.profitable")).alias("formation_profitable"), F.coalesce(variant(canonical_labels(_get(r, "$.a_chaud.satisfaction_contenu"))), variant(_get(r, "$.a_chaud.satisfaction_contenu"))).alias("satisfaction_contenu"),
         number("$.a_chaud.impression_globale_note_sur_10", "$.a_chaud.note_globale_a_chaud").alias("note_globale_a_chaud"),
         *(variant(_get(r, f"$.a_chaud.{n}")).alias(n) for n in ("points_forts", "points_a_ajuster", "appreciations_intervenants")),
         asjson("$.a_chaud.suggestions_complement", "$.a_chaud.suggestions_complement_sur_formation").alias("suggestions_complement_sur_formation"),
@@ -95,11 +139,25 @@ def legacy_to_current(df: DataFrame, raw: str) -> DataFrame:
         variant(_get(r, "$.intervenants")).alias("intervenants"), variant(_get(r, "$.resultats_evaluations")).alias("resultats_evaluations"),
         _get(r, "$.lien_vers_formation").alias("lien_vers_formation"), F.lit("v2.1").alias("version_prompt"),
     )
-    stamped = F.to_json(F.map_concat(F.map_filter(F.from_json(r, "map<string,variant>"), lambda k, _: k != "version_prompt"), F.create_map(F.lit("version_prompt"), F.parse_json(F.lit('"v2.1"')))))
+    # a record in the current layout is only written anew where a label or a percentage changes
+    items, levels = _get(r, "$.a_chaud.satisfaction_contenu"), _get(r, "$.pre_formation.souhaitez_vous_suivre_distribution")
+    volunteers = F.from_json(_get(r, "$.pre_formation.volonte_suivi_formation"), "map<string,string>")
+    total = truthy_coalesce(T.DoubleType(), *(parse_float(F.try_element_at(volunteers, F.lit(k))) for k in ("nb votants", "nb_votants")))
+    labelled = let(F.when(F.exists(_array(items), lambda x: F.get_json_object(x, "$.label").isin(*LABEL_MAP)), canonical_labels(items)), lambda x: _with(r, "a_chaud", _with(_get(r, "$.a_chaud"), "satisfaction_contenu", x)))
+    lacks = F.exists(_array(levels), lambda x: x.contains("votant") & F.get_json_object(x, "$.pourcentage").isNull())
+    both = let(F.struct(labelled.alias("t"), F.when(lacks, filled_percentages(levels, total)).alias("f")), lambda x: F.when(x["f"].isNull(), x["t"]).otherwise(_with(x["t"], "pre_formation", _with(_get(x["t"], "$.pre_formation"), "souhaitez_vous_suivre_distribution", x["f"]))))
+    stamped = _with(F.coalesce(both, r), "version_prompt", F.lit('"v2.1"'))
     current = is_current(r)
     return df.withColumn("etait_v2", current).withColumn("v2", F.when(r.isNotNull(), F.when(current, stamped).otherwise(F.to_json(mapped))))
 
 
+def with_identity(raw: Column, name: Column, term: Column, link: Column) -> Column:
+    """The record with training name, term and link as they were asked for, whatever was extracted. A null value is put in as null."""
+    text = lambda c: F.coalesce(F.to_json(F.to_variant_object(F.array(c))), F.lit("[null]"))
+    inner = lambda c: F.regexp_replace(text(c), r"^\[|\]$", "")
+    return _with(_with(_with(raw, "Nom formation", inner(name)), " semestre", inner(term)), "lien_vers_formation", inner(link))
+
+
 # --- validation --------------------------------------------------------------------------------------------------------
 
 
@@ -165,46 +223,160 @@ ALIASES = {"Nom formation": "Nom_formation", " semestre": "semestre", "nb votant
 ONE_OF = frozenset(f"echele {k}" for k in "54321")
 
 
-def _errors(v: Column, kind: T.DataType, path: str, required: bool, domain: tuple[str, ...] | None = None) -> Column:
-    """Messages on a VARIANT and all below it, as array<string>; elements of an array have the path of ``[]``."""
-    none = F.array().cast("array<string>")
-    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
-
-        def below(x: Column) -> Column:
-            if isinstance(kind, T.ArrayType):
-                return F.array_distinct(F.flatten(F.transform(x.cast("array<variant>"), lambda e: _errors(e, kind.elementType, path + "[]", True))))
-            if isinstance(kind, T.MapType):
-                return F.array_distinct(F.flatten(F.transform(F.map_values(x.cast("map<string,variant>")), lambda e: _errors(e, kind.valueType, path + ".*", False))))
-            out, some = [], []
-            for f in kind.fields:
-                child = F.try_variant_get(x, f"$['{f.name}']", "variant")
-                if f.name in ALIASES and ALIASES[f.name] not in kind.names:
-                    child = F.coalesce(child, F.try_variant_get(x, f"$['{ALIASES[f.name]}']", "variant"))
-                out.append(_errors(child, f.dataType, f"{path}.{f.name}", f.name in REQUIRED, DOMAINS.get(f.name)))
-                if f.name in ONE_OF:
-                    some.append(F.when(child.isNotNull() & ~F.is_variant_null(child), F.lit(1)))
-            if some:
-                out.append(F.when(~exactly_one(some), F.array(F.lit(f"{path}: exactement un"))).otherwise(none))
-            return F.concat(*out)
-
-        begins = "ARRAY" if isinstance(kind, T.ArrayType) else "OBJECT"
-        absent = F.array(F.lit(f"{path}: absent")) if required else none
-        return let(F.struct(v.alias("v"), F.schema_of_variant(v).alias("told")), lambda t: F.when(t["told"].isNull() | (t["told"] == "VOID"), absent).when(t["told"].startswith(begins), below(t["v"])).otherwise(F.array(F.lit(f"{path}: type"))))
-    return F.array_compact(F.array(_checked(v, kind, path, required, domain)["message"]))
-
-
-def payload_errors(raw: Column, schema: T.StructType = PAYLOAD) -> Column:
-    """What is wrong with a whole record against the declared schema, arrays and maps included; empty if it is accepted.
-
-    Types, required fields, domains and the one level of a distribution item. Unknown keys are no fault. A text that isn't
-    a JSON object has the one error ``json``.
+#: Reads a JSON value: (value, messages) -> typed value. A value of None is absent or null.
+Reader = Callable[[object, list[str]], object]
+_NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]?(?:nan|inf|infinity)", re.IGNORECASE)
+
+
+def _scalar_reader(kind: T.DataType, path: str, domain: tuple[str, ...] | None, commas: bool) -> Reader:
+    """Text only from text, numbers also from numeric text and booleans, whole numbers from numbers without a fraction."""
+
+    def typed(v: object) -> object:
+        if isinstance(v, str) and commas:
+            v = v.replace(",", ".").strip()
+        if isinstance(kind, T.StringType):
+            return v if isinstance(v, str) else None
+        if isinstance(kind, T.BooleanType):
+            return v if isinstance(v, bool) else None
+        if isinstance(v, str):
+            v = float(v) if _NUMBER.fullmatch(v := v.strip()) else None
+        if not isinstance(v, (int, float)):
+            return None
+        if isinstance(kind, T.DoubleType):
+            return float(v)
+        return int(v) if isinstance(v, int) or v.is_integer() else None
+
+    def read(v: object, messages: list[str]) -> object:
+        value = typed(v)
+        if value is None:
+            messages.append(f"{path}: type")
+        elif domain and value not in domain:
+            messages.append(f"{path}: domaine")
+        return value
+
+    return read
+
+
+def _reader(kind: T.DataType, path: str, required: bool, domain: tuple[str, ...] | None, commas: bool) -> Reader:
+    """Reader of a declared type and all below it. Elements of an array have the path of ``[]``, values of a map that of ``.*``."""
+    if isinstance(kind, T.StructType):
+        fields = [(f.name, ALIASES.get(f.name, f.name), f.name in ONE_OF, _reader(f.dataType, f"{path}.{f.name}", f.name in REQUIRED, DOMAINS.get(f.name), commas)) for f in kind.fields]
+        names, levels, expected = set(kind.names), bool(ONE_OF & set(kind.names)), dict
+
+        def inner(v: dict, messages: list[str]) -> dict:
+            out, filled = {}, 0
+            for name, other, one_of, read in fields:
+                given = v.get(name)
+                if name not in v and other not in names:
+                    given = v.get(other)
+                filled += one_of and given is not None
+                out[name] = read(given, messages)
+            if levels and filled != 1:
+                messages.append(f"{path}: exactement un")
+            return out
+
+    elif isinstance(kind, T.ArrayType):
+        element, expected = _reader(kind.elementType, path + "[]", True, None, commas), list
+
+        def inner(v: list, messages: list[str]) -> list:
+            return [element(x, messages) for x in v]
+
+    elif isinstance(kind, T.MapType):
+        value, expected = _reader(kind.valueType, path + ".*", False, None, commas), dict
+
+        def inner(v: dict, messages: list[str]) -> dict:
+            return {k: value(x, messages) for k, x in v.items()}
+
+    else:
+        inner, expected = _scalar_reader(kind, path, domain, commas), object
+
+    def read(v: object, messages: list[str]) -> object:
+        if v is None:
+            if required:
+                messages.append(f"{path}: absent")
+            return None
+        if not isinstance(v, expected):
+            messages.append(f"{path}: type")
+            return None
+        return inner(v, messages)
+
+    return read
+
+
+def _no_constant(name: str) -> float:
+    raise ValueError(name)
+
+
+def _without_nulls(v: object, kind: T.DataType) -> object:
+    """A record without its null fields; null values of maps and null elements stay."""
+    if isinstance(v, dict) and isinstance(kind, T.StructType):
+        return {f.name: _without_nulls(v[f.name], f.dataType) for f in kind.fields if v[f.name] is not None}
+    if isinstance(v, list):
+        return [_without_nulls(x, kind.elementType) for x in v]
+    return v
+
+
+def _records(schema: T.StructType, commas: bool, nulls: bool):
+    """Arrow batches of JSON texts -> struct(erreurs, json). One pass of plain Python over each document: the rules of a
+    nested record as column expressions are thousands of interpreted nodes, many times slower."""
+    read = _reader(schema, "$", True, None, commas)
+
+    @F.pandas_udf("erreurs array<string>, json string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            try:
+                doc = json.loads(text, parse_constant=_no_constant)
+            except (ValueError, TypeError, RecursionError):
+                doc = None
+            if not isinstance(doc, dict):
+                rows.append((["json"], None))
+                continue
+            messages: list[str] = []
+            value = read(doc, messages)
+            rows.append((list(dict.fromkeys(messages)), json.dumps(value if nulls else _without_nulls(value, schema), ensure_ascii=False)))
+        return pd.DataFrame(rows, columns=["erreurs", "json"])
+
+    return run
+
+
+def payload_check(raw: Column, schema: T.StructType = PAYLOAD, commas: bool = False, nulls: bool = False) -> Column:
+    """struct(erreurs, json): what is wrong with a whole record against the declared schema, arrays and maps included (empty if it
+    is accepted), and the record as JSON under its declared (alias) names, with numbers as numbers and without unknown keys.
+
+    Checked are types, required fields, domains and the one level of a distribution item. Unknown keys are no fault. A text that isn't
+    a JSON object has the one error ``json`` and no record; what can't be read is null in the record. With ``commas``, commas of texts are
+    read as points and their ends stripped. With ``nulls`` null fields are written, else only null values of maps.
     """
+    return _records(schema, commas, nulls)(raw)
+
+
+def payload_errors(raw: Column, schema: T.StructType = PAYLOAD, commas: bool = False) -> Column:
+    return payload_check(raw, schema, commas)["erreurs"]
+
+
+def payload_json(raw: Column, schema: T.StructType = PAYLOAD, commas: bool = False, nulls: bool = False) -> Column:
+    return payload_check(raw, schema, commas, nulls)["json"]
+
+
+def payload_value(raw: Column, schema: T.StructType = PAYLOAD, commas: bool = False) -> Column:
+    """The record as a struct of the declared schema."""
+    return F.from_json(payload_json(raw, schema, commas, True), schema)
+
+
+def canonical_json(raw: Column) -> Column:
+    """A JSON text with sorted keys and without layout, so that equal records are equal texts; null for no JSON."""
+    return F.to_json(F.try_parse_json(raw))
+
+
+def record_hash(raw: Column) -> Column:
+    """SHA-256 of a record whatever the order of its keys; null for no JSON."""
+    return F.sha2(canonical_json(raw), 256)
 
-    def body(v: Column) -> Column:
-        is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-        return F.when(is_object, _errors(v, schema, "$", True)).otherwise(F.array(F.lit("json")))
 
-    return let(F.try_parse_json(raw), body)
+def holds_something(raw: Column) -> Column:
+    """Whether a record is a JSON object with at least one key; an empty one is not taken in."""
+    return F.coalesce(F.size(F.json_object_keys(raw)) > 0, F.lit(False))
 
 
 def section_messages(sections: dict[str, tuple[Column, Column]]) -> Column:

@@ -28,11 +28,57 @@ def test_legacy_layout(spark):
     assert pre["volonte_suivi_formation"] == {"nb votants": 23}
     scale = pre["souhaitez_vous_suivre_distribution"]
     assert [next(k for k in d if k != "pourcentage") for d in scale] == [f"echele {k}" for k in "54321"]
-    assert scale[0] == {"echele 5": "17 votants", "pourcentage": "73.9"} and scale[1]["echele 4"] == "1 votants" and scale[2]["echele 3"] is None
+    assert scale[0] == {"echele 5": "17 votants", "pourcentage": 73.9} and scale[1]["pourcentage"] == 4.3 and scale[1]["echele 4"] == "1 votants" and scale[2]["echele 3"] is None
     assert pre["demande_sujets_a_aborder"] == ["s"] and v2["a_chaud"]["note_globale_a_chaud"] == 8.5
+    assert out[4].v2 is None
     assert out[2].etait_v2 and json.loads(out[2].v2)["version_prompt"] == "v2.1" and out[3].v2 is None
 
 
+def mapped(spark, *docs):
+    rows = spark.createDataFrame([(i, d if isinstance(d, str) else json.dumps(d)) for i, d in enumerate(docs)], "id int, raw string")
+    out = records.legacy_to_current(rows, "raw").select("id", "v2", records.payload_errors(F.col("v2")).alias("e"), records.payload_json(F.col("v2")).alias("j"))
+    return [(json.loads(r.v2), r.e, json.loads(r.j)) for r in out.orderBy("id").collect()]
+
+
+def test_golden_legacy_documents(spark):
+    def legacy(counts, percents, total=23, label="Satisfait-e"):
+        items = [{"label": k, "count": c, "percent": p} for k, c, p in zip("54321", counts, percents, strict=False)]
+        return {"Nom formation": "A", " semestre": "S1 2025", "lien_vers_formation": "x", "pre_formation": {"souhaitez_vous_suivre": {"voters_total": total}, "souhaitez_vous_suivre_distribution": items}, "a_chaud": {"satisfaction_contenu": [{"label": label, "count": 3}]}}
+
+    votes, shares = [17, 1, 3, 1, 1], [73, 4, 13, 4, 4]
+    g5, g6, g7, two, odd, text = mapped(spark, legacy(votes, shares), legacy(votes[:4], shares), legacy(votes, [None] * 5), legacy([4, 6], [None, None], 10), legacy(votes, shares, label="Satisfait -e"), legacy(votes, [None] * 5, "23"))
+    share = lambda doc: [d["pourcentage"] for d in doc[0]["pre_formation"]["souhaitez_vous_suivre_distribution"]]
+    assert g5[1] == [] and share(g5) == shares and g5[0]["version_prompt"] == "v2.1" and "nb_votants" not in g5[0]["pre_formation"]["souhaitez_vous_suivre_distribution"][0]
+    assert g6[1] == ["$.pre_formation.souhaitez_vous_suivre_distribution[]: exactement un"]
+    assert share(g7) == [73.9, 4.3, 13.0, 4.3, 4.3] == share(text) and g7[1] == [] and share(two)[:2] == [40.0, 60.0]
+    assert g5[0]["a_chaud"]["satisfaction_contenu"] == [{"label": "Satisfait(e)", "count": 3}] and odd[1] == ["$.a_chaud.satisfaction_contenu[].label: domaine"]
+    assert g7[2]["pre_formation"]["volonte_suivi_formation"] == {"nb votants": 23} and g7[2]["pre_formation"]["souhaitez_vous_suivre_distribution"][0] == {"echele 5": "17 votants", "pourcentage": 73.9}
+
+
+def test_current_records_are_repaired_too(spark):
+    doc = {"Nom formation": "B", "pre_formation": {"autre": [1], "volonte_suivi_formation": {"nb_votants": "8"}, "souhaitez_vous_suivre_distribution": [{"echele 5": "2 votants"}, {"echele 4": "4", "pourcentage": None}, {"echele 3": "1 votant", "pourcentage": 3.5}, "x", None]},
+           "a_chaud": {"points_forts": ["p"], "satisfaction_contenu": [{"label": "Déçu-e", "percent": 5.0}, {"label": "Ravi"}, 7, None]}}
+    (v2, _, _), (plain, _, _), (odd, _, _) = mapped(spark, doc, {"pre_formation": {"volonte_suivi_formation": None}, "k": {"b": 1, "a": [2]}}, {"pre_formation": {"volonte_suivi_formation": 3, "souhaitez_vous_suivre_distribution": {"a": 1}}, "a_chaud": {"satisfaction_contenu": "x"}})
+    assert v2["pre_formation"]["souhaitez_vous_suivre_distribution"] == [{"echele 5": "2 votants", "pourcentage": 25.0}, {"echele 4": "4", "pourcentage": None}, {"echele 3": "1 votant", "pourcentage": 3.5}, "x", None]
+    assert v2["a_chaud"] == {"points_forts": ["p"], "satisfaction_contenu": [{"label": "Déçu(e)", "percent": 5.0}, {"label": "Ravi"}, 7, None]} and v2["pre_formation"]["autre"] == [1] and v2["version_prompt"] == "v2.1"
+    assert plain["k"] == {"b": 1, "a": [2]} and odd["a_chaud"] == {"satisfaction_contenu": "x"}
+
+
+def test_identity_dump_and_hash(spark):
+    raw = json.dumps({" semestre": "S2", "Nom formation": "extrait", "a_froid": {"note_sur_10": "8,5", "inconnu": 1}, "a_chaud": None, "intervenants": {"retards_apprenants": {"oui": None}}})
+    df = spark.createDataFrame([(raw, 'Nom "cité"')], "raw string, nom string")
+    forced = records.with_identity(F.col("raw"), F.col("nom"), F.lit("S1 2025"), F.lit(None).cast("string"))
+    r = df.select(forced.alias("f"), records.payload_json(forced, commas=True).alias("j"), records.payload_json(forced, nulls=True).alias("n"), records.payload_value(forced, commas=True).alias("v"), records.payload_errors(forced, commas=True).alias("e")).first()
+    assert json.loads(r.f)["Nom formation"] == 'Nom "cité"' and json.loads(r.f)["lien_vers_formation"] is None and r.e == ["$.lien_vers_formation: absent"]
+    assert json.loads(r.j) == {"Nom formation": 'Nom "cité"', " semestre": "S1 2025", "a_froid": {"note_sur_10": 8.5}, "intervenants": {"retards_apprenants": {"oui": None}}}
+    assert r.v["a_froid"]["note_sur_10"] == 8.5 and r.v["Nom formation"] == 'Nom "cité"' and r.v["a_chaud"] is None
+    assert json.loads(r.n)["a_froid"]["note_sur_10"] is None and json.loads(r.n)["a_chaud"] is None
+    pairs = spark.createDataFrame([('{"b": 1, "a": [1, {"y": 2, "x": 3}]}',), ('{"a":[1,{"x":3,"y":2}],"b":1}',), ('{"a":[1,{"x":3,"y":2}],"b":2}',), ("no",), (None,), ("{}",)], "raw string")
+    h = [x.h for x in pairs.select(records.record_hash(F.col("raw")).alias("h")).collect()]
+    assert h[0] == h[1] != h[2] and h[3] is None and h[4] is None
+    assert [x.h for x in pairs.select(records.holds_something(F.col("raw")).alias("h")).collect()] == [True, True, True, False, False, False]
+
+
 FIELDS = {"$.n": (T.LongType(), True, None), "$.d": (T.DoubleType(), False, None), "$.s": (T.StringType(), False, ("x", "y")), "$.b": (T.BooleanType(), False, None)}
 
 
