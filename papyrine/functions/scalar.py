@@ -176,8 +176,10 @@ def unwrap_summary(text: Column) -> Column:
 
 
 def response_text(raw: Column) -> Column:
-    """Text of a model's response: an object gives its first non-blank known key, else itself; other text is stripped."""
-    return F.coalesce(F.coalesce(first_key(raw, RESPONSE_KEYS), strip(raw)), F.lit(""))
+    """Text of a model's response: an object gives its first non-blank known key, else itself; a list its elements joined by a
+    blank; other text is stripped."""
+    listed = F.transform(F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>"), lambda v: F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")), F.to_json(v), F.lit("None")))
+    return F.coalesce(first_key(raw, RESPONSE_KEYS), strip(F.array_join(listed, " ")), strip(raw), F.lit(""))
 
 
 def cell(value: Column, kind: T.DataType) -> Column:

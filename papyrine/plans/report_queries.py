@@ -13,7 +13,7 @@ from papyrine.functions import lists, scalar as fx
 from papyrine.operators import indicators as ind
 from papyrine.operators import narrative, records, text_blocks as tb
 from papyrine.operators.dedup import latest_by_key
-from papyrine.plans.report_row import report_rows, trainer_comment
+from papyrine.plans.report_row import META, report_rows, trainer_comment
 from papyrine.schema import LABELS, OUTPUT_COLUMNS
 
 QUERIES: dict = {}
@@ -504,13 +504,17 @@ def q36_prefer_detail(spark: SparkSession, sf: str) -> DataFrame:
     return tb.prefer(detail, total, ["cle"], "total")
 
 
-@query("""select user_id, sum(n) = max(total) and sum(p) between 99 and 101 as coherent, cast(sum(p) as bigint) as somme from (
-  select *, cast(round_even(n * 100.0 / total, 0) as bigint) as p from (select *, sum(n) over (partition by user_id) as total from (select user_id, event_type, count(*) as n from events group by all))) group by user_id""")
+@query("""select user_id, sum(n) = max(annonce) and sum(p) between 99 and 101 as coherent, cast(sum(p) as bigint) as somme from (
+  select *, cast(round_even(n * 100.0 / total, 0) as bigint) as p from (select *, sum(n) over (partition by user_id) as total from (select user_id, event_type, count(*) as n from events group by all)))
+  join (select user_id, count(*) - max(case when user_id % 3 = 0 then 1 else 0 end) as annonce from events group by user_id) using (user_id) group by user_id""")
 def q37_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether rounded percentages of each user's event types sum to 99..101."""
-    rows = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("user_id")))
+    """Whether each user's events are as many as announced (one too few for every third user) and their rounded percentages sum to 99..101."""
+    events = table(spark, sf, "events")
+    announced = events.groupBy("user_id").agg((F.count("*") - F.max(F.when(F.col("user_id") % 3 == 0, 1).otherwise(0))).alias("annonce"))
+    rows = events.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("user_id")))
     rows = rows.withColumn("p", fx.whole(F.col("n") * 100.0 / F.col("total")))
-    return rows.groupBy("user_id").agg(F.sum("n").alias("votes"), F.max("total").alias("total"), F.sum("p").alias("somme")).select("user_id", tb.chart_is_consistent(F.col("votes"), F.col("total"), F.col("somme")).alias("coherent"), "somme")
+    sums = rows.groupBy("user_id").agg(F.sum("n").alias("votes"), F.sum("p").alias("somme")).join(announced, "user_id")
+    return sums.select("user_id", tb.chart_is_consistent(F.col("votes"), F.col("annonce"), F.col("somme")).alias("coherent"), "somme")
 
 
 def _or_none(x: str, *more: str) -> str:
@@ -549,6 +553,14 @@ def q38_output_row(spark: SparkSession, sf: str) -> DataFrame:
     return report_rows(latest_by_key(table(spark, sf, "payload_v2").select(*columns), ["payload_id"], ["ingere_le"]), "none", ["payload_id"])
 
 
+@query(f"{_WITH_LEVELS}, v as ({_WILLING_SQL}) select payload_id, volonte as \"Volonté de suivre cette session\", '{META['auteur']}' as auteur, '{META['mode']}' as mode from p join v using (payload_id)")
+def q38b_meta(spark: SparkSession, sf: str) -> DataFrame:
+    """Who made an output row and how, beside a column of it."""
+    columns = ["payload_id", "ingere_le", "nom_formation", "semestre", "pre_formation", "a_chaud", "a_froid", "intervenants", "resultats_evaluations"]
+    rows = report_rows(latest_by_key(table(spark, sf, "payload_v2").select(*columns), ["payload_id"], ["ingere_le"]), "none", ["payload_id"], meta=True)
+    return rows.select("payload_id", "Volonté de suivre cette session", "meta_generation.*")
+
+
 @query("select time_bucket(interval '1 hour', ts) as debut, event_type, count(*) as n from events group by all")
 def q39_streaming(spark: SparkSession, sf: str) -> DataFrame:
     """Counts per hour and type by a stream over the file, run to its end."""

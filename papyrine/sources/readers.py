@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,26 @@ from papyrine.operators.text_blocks import is_large, join_pages
 PAGES_DDL = "path string, pages array<string>, used_ocr boolean, error string"
 
 
+def setting(spark: SparkSession, name: str, variable: str, default: str | None = None, order: tuple[str, ...] = ("conf", "env")) -> str:
+    """A setting from the session's configuration, the environment or its default, in the order asked for; without any an error."""
+    sources = {"conf": lambda: spark.conf.get(name, None), "env": lambda: os.environ.get(variable)}
+    value = next((v for v in (sources[o]() for o in order) if v), default)
+    if value is None:
+        raise ValueError(f"neither {name} nor {variable} is set")
+    return value
+
+
+def require(**parameters: str | None) -> None:
+    """Refuse parameters that are null or blank, all of them named."""
+    if lacking := sorted(k for k, v in parameters.items() if not (v or "").strip()):
+        raise ValueError(f"missing: {', '.join(lacking)}")
+
+
+def listing(spark: SparkSession, path: str, glob: str = "*.json") -> list[str]:
+    """Names of the files in order of code points. Never kept, so a new file is there at once."""
+    return [r.nom for r in files(spark, path, glob).select("nom").orderBy("nom").collect()]
+
+
 def files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(path, nom, length, modificationTime): names only, contents aren't read. Order by ``nom`` for the sorted listing."""
     listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
@@ -74,12 +95,15 @@ def csv_headers(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
-def workbook_headers(path: str, sheet: str, table: str) -> list[str]:
-    """Header row of a named table of a workbook, where the workbook library is installed."""
+def workbook_headers(path: str, sheet: str, table: str) -> tuple[list[str], tuple[int, int, int, int]]:
+    """(header row, (first column, first row, last column, last row)) of a named table of a workbook, where the library is installed."""
     import openpyxl
 
+    from papyrine.sources.sinks import table_bounds
+
     book = openpyxl.load_workbook(path, read_only=False)
     if sheet not in book.sheetnames or table not in book[sheet].tables:
         raise ValueError(f"{path}: no table {table} on sheet {sheet}")
     ws = book[sheet]
-    return [str(c.value or "").strip() for c in ws[ws.tables[table].ref][0]]
+    ref = ws.tables[table].ref
+    return [str(c.value or "").strip() for c in ws[ref][0]], table_bounds(ref)

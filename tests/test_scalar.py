@@ -52,7 +52,7 @@ def test_commas(spark):
 def test_summaries(spark):
     texts = ['{"resume": " ", "summary": " v "}', ' "net" ', "a \n b", '{"autre":  1}', None, "", "['x']", '[1,  2]', "{bad  one}", '{"résumé": 5, "text": "ok"}']
     assert each(spark, texts, fx.unwrap_summary) == ["v", "net", "a b", '{"autre": 1}', "", "", "['x']", "[1, 2]", "{bad one}", "ok"]
-    assert each(spark, [None, " x ", '{"output": "y"}', '{"z":1}'], fx.response_text) == ["", "x", "y", '{"z":1}']
+    assert each(spark, [None, " x ", '{"output": "y"}', '{"z":1}', '["a", 2, {"k": 1}]'], fx.response_text) == ["", "x", "y", '{"z":1}', 'a 2 {"k":1}']
 
 
 def test_cells(one):
