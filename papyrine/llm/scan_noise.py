@@ -4,8 +4,9 @@ Two averaged perceptrons, trained here on rows made from clean sentences by a no
 lines from running headers or footers and from page numbers, by where a line stands on its page and how it comes back on others.
 The *character* editor gives every character of a word, and the hyphen at a line's end, an operation: keep, replace,
 delete, insert, join. Its features are the characters around, how frequent the word is in the corpus, and what the corpus
-word it could be a misreading of has in that place. Word counts and line counts cover all texts; what is sent to the
-tasks is the part above a fixed share, so its size has a bound that doesn't depend on the data.
+word it could be a misreading of has in that place. Word counts and line counts cover all texts. The most frequent ``BASE_WORDS`` words and
+``BASE_LINES`` running lines go to all tasks; what else a report needs is looked up by a join and comes with the report, so the
+answers don't depend on these bounds.
 """
 
 from __future__ import annotations
@@ -13,16 +14,17 @@ from __future__ import annotations
 import random
 import re
 from bisect import bisect_right
-from collections import Counter, defaultdict
+from collections import ChainMap, Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrine.llm.textbuf import column
+from papyrine.worktable import worktable
 
 #: How single letters are misread. True letter: what it is taken for.
 CONFUSIONS = {
@@ -42,9 +44,12 @@ COMPOUND = re.compile(r"(?<![^\W\d_])[^\W\d_]+(?:-[^\W\d_]+)+")
 HYPHENS = "-‐­‑"
 CUT_LEFT = re.compile(rf"(?<![\w@])([\w@]+)[{HYPHENS}][ \t]*$")
 CUT_RIGHT = re.compile(r"^[ \t]*([\w@]+)")
-#: A word or line pattern is kept from this share of all words or of all reports on, and from so many occurrences.
-WORD_SHARE, WORD_LEAST = 1e-6, 2
-LINE_SHARE, LINE_LEAST = 1e-4, 3
+#: A word is known from so many occurrences on, a running line from so many reports on.
+WORD_LEAST, LINE_LEAST = 2, 3
+#: Most words and compounds, and most running lines, that go to all tasks.
+BASE_WORDS, BASE_LINES = 200_000, 50_000
+#: A word may have lost a letter between its first and last if it has so many letters and occurrences.
+LOST_LETTERS, LOST_LEAST = 7, 20
 EDGE = 2
 MEMO = 300_000
 
@@ -99,22 +104,57 @@ class Perceptron:
 # --- characters ------------------------------------------------------------------------------------------------------
 
 
+def lost_forms(word: str) -> Iterator[tuple[int, str]]:
+    """(place, word without that letter) for every letter between the first and the last."""
+    return ((i, word[:i] + word[i + 1 :]) for i in range(1, len(word) - 1))
+
+
 class Lexicon:
-    """Frequent words of the corpus with their counts, and by skeleton."""
+    """Known words of the corpus with their counts, by skeleton and by what is left when a letter is lost."""
 
     def __init__(self, words: dict[str, int], compounds: dict[str, int]) -> None:
         self.words, self.compounds = words, compounds
         self.alike: dict[str, list[str]] = defaultdict(list)
-        for w in words:
+        self.lost: dict[str, list[str]] = defaultdict(list)
+        for w, n in words.items():
             self.alike[w.translate(SKELETON)].append(w)
+            if n >= LOST_LEAST and len(w) >= LOST_LETTERS:
+                for _, form in lost_forms(w):
+                    self.lost[form].append(w)
 
     def source(self, token: str) -> tuple[str, list[str]] | None:
-        """(corpus word, operation of each character) that ``token`` is the likeliest misreading of."""
+        """(corpus word, operation of each character) that ``token`` is the likeliest misreading of: the most frequent word, at least
+        as frequent as the token, that misread characters explain; for an unknown token without one, a word that lost one letter.
+        Of equally frequent words the first in alphabetical order."""
+        held = self.words.get(token, 0)
         best = None
         for w in self.alike.get(token.translate(SKELETON), ()):
-            if w != token and (best is None or self.words[w] > self.words[best[0]]) and (ops := align(w, token)) is not None:
+            if w != token and self.words[w] >= held and (best is None or (-self.words[w], w) < (-self.words[best[0]], best[0])) and (ops := align(w, token)) is not None:
                 best = (w, ops)
-        return best
+        if best or held or not token.isalpha():
+            return best
+        longer = min(self.lost.get(token, ()), key=lambda w: (-self.words[w], w), default=None)
+        if longer is None:
+            return None
+        i = next(i for i, form in lost_forms(longer) if form == token)
+        return longer, ["keep"] * (i - 1) + [f"insert:{longer[i]}"] + ["keep"] * (len(token) - i)
+
+
+class WithExtra(Lexicon):
+    """A lexicon with the few words more that one report needs."""
+
+    def __init__(self, base: Lexicon, words: dict[str, int], compounds: dict[str, int]) -> None:
+        more = Lexicon(words, compounds)
+        self.words, self.compounds = ChainMap(words, base.words), ChainMap(compounds, base.compounds)
+        self.alike, self.lost = _Joined(base.alike, more.alike), _Joined(base.lost, more.lost)
+
+
+class _Joined:
+    def __init__(self, *held: dict[str, list[str]]) -> None:
+        self.held = held
+
+    def get(self, key: str, default: tuple = ()) -> list[str]:
+        return [w for h in self.held for w in h.get(key, default)]
 
 
 def align(true: str, seen: str) -> list[str] | None:
@@ -171,6 +211,8 @@ def word_rows(token: str, lexicon: Lexicon) -> list[tuple[list[str], list[str]]]
         near = [f"c={c}", f"c2={padded[k + 1 : k + 3]}", f"c3={padded[k + 1 : k + 4]}", f"told={told[:7]}", f"told={told[:7]}|known={held > 0}"]
         if told.startswith("replace"):
             near.append(f"turn={c}>{told[8:]}")
+        elif told.startswith("insert"):
+            near += [f"lost={told[7:]}", f"lost|long={min(len(token), 9)}|ratio={min(6, int(lexicon.words[found[0]]).bit_length() // 2)}"]
         near += [f"{told[:7]}&{x}" for x in common]
         allowed = ["keep", *([told] if told not in ("keep", "none") else [])]
         if told == "none" and (c.isdigit() or c == "@"):
@@ -181,13 +223,10 @@ def word_rows(token: str, lexicon: Lexicon) -> list[tuple[list[str], list[str]]]
 
 
 def edit_word(token: str, lexicon: Lexicon, editor: Perceptron) -> list[str] | None:
-    """The operation of each character, or None where all are kept. A misread letter is edited as a whole."""
+    """The operation the editor gives each character, or None where all are kept."""
     if token.isdigit() or "_" in token or lexicon.words.get(token, 0) > 0 and not lexicon.source(token):
         return None
     ops = [editor.predict(f, a) for f, a in word_rows(token, lexicon)]
-    found = lexicon.source(token)
-    if found and any(o != "keep" for o in ops):
-        return found[1]
     return ops if any(o != "keep" for o in ops) else None
 
 
@@ -248,13 +287,61 @@ def line_key(line: str, context: tuple[str, ...]) -> str:
     return ALONE.sub("#", low).translate(SKELETON).replace(" ", "")
 
 
+def _chain(numbers: list[tuple[int, int]]) -> list[int]:
+    """Lines of the longest run of number lines (line, number) that count up by one, some lines apart."""
+    best: dict[int, list[int]] = {}
+    for i, n in numbers:
+        before = best.get(n - 1, [])
+        if before and i - before[-1] < 4:
+            before = []
+        if len(before) + 1 >= len(best.get(n, [])):
+            best[n] = [*before, i]
+    return max(best.values(), key=len, default=[])
+
+
+def inferred_pages(lines: list[str], keys: list[str], known: dict[str, float]) -> list[list[int]]:
+    """Line numbers of each page of a text whose pages aren't told, by form feeds and by lines that must be furniture: numbers out of a
+    total, numbers that count up three times or more, lines that come back and quote the report's context, lines that are running lines
+    elsewhere, and lines that come back three times or more at like distances. Furniture lines with only blank lines between them are
+    at one page break, which is before them if such a line opens the text, else behind the first of them."""
+    n = len(lines)
+    where: dict[str, list[int]] = defaultdict(list)
+    numbers, totals = [], defaultdict(list)
+    for i, line in enumerate(lines):
+        text = line.strip()
+        if m := NUMBER_LINE.match(text):
+            numbers.append((i, number_of(m[1])))
+            if m[2]:
+                totals[number_of(m[2])].append(i)
+        elif len(text) > 3 and text[-1] not in ":?":
+            where[keys[i]].append(i)
+    chain = _chain(numbers)
+    marks = {i for held in totals.values() if len(held) > 1 for i in held} | (set(chain) if len(chain) > 2 else set())
+    for key, at in where.items():
+        gaps = [b - a for a, b in zip(at[:-1], at[1:], strict=True)]
+        again = len(at) > 1 and min(gaps) > 3
+        if known.get(key, 0.0) > 0.8 or again and any(c in key for c in QUOTED) or len(at) > 2 and min(gaps) > 5 and max(gaps) <= 1.5 * min(gaps):
+            marks.update(at)
+    breaks = {i for i, line in enumerate(lines) if "\f" in line}
+    opening = {keys[i] for i in [i for i, x in enumerate(lines) if x.strip()][:EDGE]}
+    last = None
+    for i in sorted(marks):
+        if last is None or any(lines[k].strip() for k in range(last + 1, i)):
+            breaks.add(i if keys[i] in opening else i + 1)
+        last = i
+    cuts = [0, *sorted(k for k in breaks if 0 < k < n), n]
+    return [list(range(a, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 class Page:
-    """Where the lines of one report stand and how often their keys come."""
+    """Where the lines of one report stand and how often their keys come. Pages that don't agree with the text are inferred."""
 
-    def __init__(self, text: str, pages: list[str | None] | None, context: tuple[str, ...]) -> None:
+    def __init__(self, text: str, pages: list[str | None] | None, context: tuple[str, ...], known: dict[str, float] | None = None) -> None:
         self.lines = text.split("\n")
-        self.pages = page_lines(pages, text)
         context = tuple(" ".join(c.lower().split()) for c in context if c)
+        self.pages = page_lines(pages, text)
+        if len(self.pages) == 1 and (not pages or "\n".join(p or "" for p in pages).strip() != text):
+            self.pages = inferred_pages(self.lines, [line_key(x, context) for x in self.lines], known or {})
         self.edges: dict[int, tuple[int, int, int]] = {}  # line: (page, from the top, from the bottom)
         self.keys: dict[int, str] = {}
         self.edge_pages: Counter = Counter()
@@ -336,6 +423,13 @@ def misread(word: str, rate: float, r: random.Random) -> tuple[str, list[str]]:
     return seen, ops
 
 
+def lose(word: str, r: random.Random) -> tuple[str, list[str]]:
+    """(word without one of its inner letters, operations that put it in again)."""
+    i = r.randint(1, len(word) - 2)
+    at = next(k for k, form in lost_forms(word) if form == word[:i] + word[i + 1 :])
+    return word[:i] + word[i + 1 :], ["keep"] * (at - 1) + [f"insert:{word[at]}"] + ["keep"] * (len(word) - 1 - at)
+
+
 @lru_cache(maxsize=1)
 def editor() -> Perceptron:
     """The character editor, trained on words and line ends made noisy; some words are left out of the training lexicon."""
@@ -347,14 +441,16 @@ def editor() -> Perceptron:
     for _ in range(60):
         words = {w: r.choice([3, 12, 60, 400, 3000]) for w in vocabulary if r.random() < 0.85}
         for w in list(words):  # misreadings of very frequent words are words of the corpus too
-            if words[w] > 300 and r.random() < 0.3:
+            if words[w] > 300 and r.random() < 0.6:
                 seen, _ = misread(w, 0.3, r)
                 if seen != w:
                     words.setdefault(seen, max(2, words[w] // r.choice([150, 400, 1000])))
         lexicon = Lexicon(words, {c: r.choice([2, 9, 80]) for c in compounds if r.random() < 0.9})
         for w in vocabulary:
-            for seen, ops in ((w, ["keep"] * len(w)), misread(w, 0.25, r)):
-                found = lexicon.source(seen)
+            noisy = [(w, ["keep"] * len(w)), misread(w, 0.25, r)]
+            if len(w) >= LOST_LETTERS and w.isalpha() and r.random() < 0.25:
+                noisy.append(lose(w, r))
+            for seen, ops in noisy:
                 for (features, allowed), op in zip(word_rows(seen, lexicon), ops, strict=True):
                     gold = op if op in allowed else "keep"
                     rows.append((features, allowed, gold))
@@ -366,7 +462,7 @@ def editor() -> Perceptron:
             rows += [(*hyphen_row(a, r.choice(HYPHENS[:2]), b, lexicon), "keep")] * 3
         for _ in range(4):
             rows.append((*hyphen_row(r.choice(vocabulary), "-", str(r.randint(1, 99)), lexicon), "keep"))
-    return Perceptron.train(rows, 3)
+    return Perceptron.train(rows, 4)
 
 
 def misread_line(line: str, r: random.Random) -> str:
@@ -468,20 +564,99 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["genre", "cle", "n"])
 
 
-def corpus_counts(inputs: DataFrame) -> tuple[dict[str, int], dict[str, int], dict[str, float]]:
-    """(words, compounds, running lines with their share of edge places) above the fixed shares, over all texts."""
+def _base(counts: DataFrame, least: int, most: int) -> tuple[int, bool]:
+    """(count from which on at most ``most`` rows are left, whether rows with ``least`` or more are below it)."""
+    steps = {r.k: r.c for r in counts.where(F.col("n") >= least).groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("c")).collect()}  # one row a power of two
+    total, cut = 0, None
+    for k in sorted(steps, reverse=True):
+        total += steps[k]
+        if total > most:
+            break
+        cut = k
+    if total <= most:
+        return least, False
+    return (1 << (cut if cut is not None else 62)), True
+
+
+def skeleton(text: Column) -> Column:
+    """The same as ``SKELETON`` on a column."""
+    out = F.translate(text, "".join(_ALIKE), "".join(_ALIKE.values()))
+    for letter, wide in _WIDE.items():
+        out = F.replace(out, F.lit(letter), F.lit(wide))
+    return out
+
+
+def corpus_counts(inputs: DataFrame, base_words: int, base_lines: int) -> tuple[tuple[dict, dict, dict], DataFrame | None]:
+    """((words, compounds, running lines with their share of edge places) for all tasks, what else there is), over all texts.
+
+    The rest has (genre, cle, mot, n, part): words by their skeleton 's' and by what is left without a letter 'l', compounds by their
+    skeleton 'h', running lines by their key 'r'; None where nothing is left over.
+    """
     counted = inputs.select("text", "pages", "context").mapInArrow(_count, "genre string, cle string, n long").groupBy("genre", "cle").agg(F.sum("n").alias("n"))
-    counted = counted.persist()
-    try:
-        totals = {r.genre: r.n for r in counted.groupBy("genre").agg(F.sum("n").alias("n")).collect()}
-        words_from = max(WORD_LEAST, WORD_SHARE * totals.get("w", 0))
-        lines_from = max(LINE_LEAST, LINE_SHARE * totals.get("n", 0))
-        kept = counted.where(F.col("genre").isin("w", "h") & (F.col("n") >= words_from)).collect()
-        keys = counted.where((F.col("genre") == "r") & (F.col("n") >= lines_from)).select("cle", F.col("n").alias("r"))
-        lines = counted.where(F.col("genre").isin("e", "t")).join(keys, "cle").groupBy("cle").agg(F.sum(F.when(F.col("genre") == "e", F.col("n"))).alias("e"), F.sum(F.when(F.col("genre") == "t", F.col("n"))).alias("t")).collect()
-    finally:
-        counted.unpersist()
-    return {r.cle: r.n for r in kept if r.genre == "w"}, {r.cle: r.n for r in kept if r.genre == "h"}, {r.cle: min(1.0, r.e / max(1, r.t)) for r in lines}
+    counted = worktable(counted, "p6-counts")
+    words = counted.where(F.col("genre").isin("w", "h"))
+    words_from, words_left = _base(words, WORD_LEAST, base_words)
+    lines = counted.where(F.col("genre").isin("r", "e", "t")).groupBy("cle").agg(*(F.sum(F.when(F.col("genre") == g, F.col("n"))).alias(g) for g in "ret")).where(F.col("r") >= LINE_LEAST)
+    lines = worktable(lines.select("cle", F.col("r").alias("n"), F.least(F.lit(1.0), F.col("e") / F.greatest(F.lit(1), F.coalesce("t", F.lit(0)))).alias("part")), "p6-lines")
+    lines_from, lines_left = _base(lines, LINE_LEAST, base_lines)
+    kept = words.where(F.col("n") >= words_from).collect()
+    known = {r.cle: r.part for r in lines.where(F.col("n") >= lines_from).collect()}
+    rest = None
+    if words_left or lines_left:
+        rare = words.where((F.col("n") >= WORD_LEAST) & (F.col("n") < words_from))
+        none = F.lit(None).cast("double").alias("part")
+        lost = F.transform(F.sequence(F.lit(2), F.length("cle") - 1), lambda i: F.concat(F.substring("cle", F.lit(1), i - 1), F.substring("cle", i + 1, F.length("cle"))))
+        can_lose = (F.col("genre") == "w") & (F.col("n") >= LOST_LEAST) & (F.length("cle") >= LOST_LETTERS)
+        rest = (
+            rare.select(F.when(F.col("genre") == "w", F.lit("s")).otherwise(F.lit("h")).alias("genre"), skeleton(F.col("cle")).alias("k"), F.col("cle").alias("mot"), "n", none)
+            .unionByName(rare.where(can_lose).select(F.lit("l").alias("genre"), F.explode(F.array_distinct(lost)).alias("k"), F.col("cle").alias("mot"), "n", none))
+            .unionByName(lines.where(F.col("n") < lines_from).select(F.lit("r").alias("genre"), F.col("cle").alias("k"), F.col("cle").alias("mot"), "n", "part"))
+        )
+    return ({r.cle: r.n for r in kept if r.genre == "w"}, {r.cle: r.n for r in kept if r.genre == "h"}, known), rest
+
+
+def _asked(shared):
+    """What a report may need beyond the base: (texte, genre, k)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, _, known = shared.value[:3]
+        for batch in batches:
+            rows: set[tuple[int, str, str]] = set()
+            for ref, text, pages, context in zip(*(column(batch, c) for c in ("ref", "text", "pages", "context")), strict=True):
+                if not text:
+                    continue
+                tokens = set(TOKEN.findall(text.lower()))
+                lines = [x for x in text.lower().split("\n") if x.strip()]
+                for i, line in enumerate(lines):
+                    if m := CUT_LEFT.search(line):
+                        for after in lines[i + 1 : i + 9]:  # running lines may stand between
+                            if right := CUT_RIGHT.match(after):
+                                tokens |= {m[1], right[1], m[1] + right[1]}
+                                rows.add((ref, "h", f"{m[1]}-{right[1]}".translate(SKELETON)))
+                for t in tokens:
+                    if t not in words:
+                        rows.add((ref, "s", t.translate(SKELETON)))
+                        if t.isalpha() and len(t) >= LOST_LETTERS - 1:
+                            rows.add((ref, "l", t))
+                keys = [" ".join(c.lower().split()) for c in context if c]
+                rows |= {(ref, "r", k) for line in text.split("\n") if line.strip() and (k := line_key(line, tuple(keys))) not in known}
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["ref", "genre", "k"])
+
+    return run
+
+
+EXTRA_DDL = "array<struct<genre:string,mot:string,n:bigint,part:double>>"
+
+
+def _with_extra(inputs: DataFrame, shared, rest: DataFrame | None) -> DataFrame:
+    """The reports with ``extra``, what they need beyond the base."""
+    inputs = inputs.withColumn("ref", F.xxhash64("id", "text"))
+    if rest is None:
+        return inputs.withColumn("extra", F.lit(None).cast(EXTRA_DDL))
+    asked = inputs.mapInArrow(_asked(shared), "ref long, genre string, k string")
+    found = asked.join(rest, ["genre", "k"]).select("ref", F.when(F.col("genre") == "l", F.lit("s")).otherwise(F.col("genre")).alias("genre"), "mot", "n", "part").distinct()
+    lists = found.groupBy("ref").agg(F.collect_list(F.struct("genre", "mot", "n", "part")).alias("extra"))
+    return inputs.join(lists, "ref", "left")
 
 
 class Repairer:
@@ -489,9 +664,19 @@ class Repairer:
 
     def __init__(self, words: dict[str, int], compounds: dict[str, int], known: dict[str, float], chars: Perceptron, lines: Perceptron) -> None:
         self.lexicon, self.known, self.chars, self.lines = Lexicon(words, compounds), known, chars, lines
+        self.base = self.lexicon, self.known
         self.memo: dict[str, list[str] | None] = {}
         self.cuts: dict[tuple[str, str, str], bool] = {}
 
+    def use(self, extra: list[dict] | None) -> None:
+        """Take what a report needs beyond the base, or go back to the base."""
+        if not extra and self.lexicon is self.base[0]:
+            return
+        told = {g: {x["mot"]: x["part"] if g == "r" else x["n"] for x in extra or () if x["genre"] == g} for g in "shr"}
+        self.lexicon = WithExtra(self.base[0], told["s"], told["h"]) if extra else self.base[0]
+        self.known = ChainMap(told["r"], self.base[1]) if extra else self.base[1]
+        self.memo, self.cuts = {}, {}
+
     def word(self, token: str) -> list[str] | None:
         if token not in self.memo:
             if len(self.memo) > MEMO:
@@ -509,7 +694,7 @@ class Repairer:
 
     def read(self, text: str, pages: list[str | None] | None, context: tuple[str, ...]) -> tuple[list[str], list[str], set[int], dict[int, list[tuple[int, int, str]]]]:
         """(lines, kind of each, cut lines, edits of each line as (begin, end, new text))."""
-        page = Page(text, pages, context)
+        page = Page(text, pages, context, self.known)
         lines = page.lines
         kinds = ["body" if x.strip() else "blank" for x in lines]
         for i in page.edges:
@@ -611,12 +796,23 @@ class Repairer:
         return "".join(out)
 
 
+_HELD: list = [None, None]
+
+
+def _repairer(value: tuple) -> Repairer:
+    """The repairer of a broadcast corpus, built once per worker."""
+    if _HELD[0] is not value:
+        _HELD[:] = [value, Repairer(*value)]
+    return _HELD[1]
+
+
 def _apply(shared, mode: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repairer = Repairer(*shared.value)
+        repairer = _repairer(shared.value)
         for batch in batches:
             rows: list[tuple] = []
-            for i, text, pages, context in zip(*(column(batch, c) for c in ("id", "text", "pages", "context")), strict=True):
+            for i, text, pages, context, extra in zip(*(column(batch, c) for c in ("id", "text", "pages", "context", "extra")), strict=True):
+                repairer.use(extra)
                 if mode == "text":
                     rows.append((i, repairer.repair(text, pages, tuple(context)) if text else text))
                 elif text:
@@ -630,21 +826,26 @@ def _apply(shared, mode: str):
     return run
 
 
-def _shared(inputs: DataFrame):
-    return inputs.sparkSession.sparkContext.broadcast((*corpus_counts(inputs), editor(), line_model()))
+def _prepared(inputs: DataFrame, base_words: int, base_lines: int):
+    """(reports with what they need beyond the base, the base and the models for all tasks)."""
+    base, rest = corpus_counts(inputs, base_words, base_lines)
+    shared = inputs.sparkSession.sparkContext.broadcast((*base, editor(), line_model()))
+    return _with_extra(inputs, shared, rest), shared
 
 
-def noise_lines(df: DataFrame, id_col: str, text_col: str, pages_col: str | None = None, context: tuple[str, ...] = ()) -> DataFrame:
+def noise_lines(df: DataFrame, id_col: str, text_col: str, pages_col: str | None = None, context: tuple[str, ...] = (), base_words: int = BASE_WORDS, base_lines: int = BASE_LINES) -> DataFrame:
     """(id, ligne, genre): what is wrong with which 1-based line, ``entete``, ``page``, ``cesure`` or ``erreur``.
 
-    ``context`` names columns whose values running lines may quote. Null and empty texts have no lines. Without pages that
-    agree with the text, it counts as one page. A text that comes twice gives its rows twice.
+    ``context`` names columns whose values running lines may quote. Null and empty texts have no lines. Pages that
+    don't agree with the text are inferred from it. A text that comes twice gives its rows twice.
     """
     inputs = _inputs(df, id_col, text_col, pages_col, context)
-    return inputs.mapInArrow(_apply(_shared(inputs), "lines"), "id long, ligne int, genre string")
+    reports, shared = _prepared(inputs, base_words, base_lines)
+    return reports.mapInArrow(_apply(shared, "lines"), "id long, ligne int, genre string")
 
 
-def repaired_texts(df: DataFrame, id_col: str, text_col: str, pages_col: str | None = None, context: tuple[str, ...] = ()) -> DataFrame:
+def repaired_texts(df: DataFrame, id_col: str, text_col: str, pages_col: str | None = None, context: tuple[str, ...] = (), base_words: int = BASE_WORDS, base_lines: int = BASE_LINES) -> DataFrame:
     """(id, texte): every text as continuous paragraphs; null stays null and empty stays empty."""
     inputs = _inputs(df, id_col, text_col, pages_col, context)
-    return inputs.mapInArrow(_apply(_shared(inputs), "text"), "id long, texte string")
+    reports, shared = _prepared(inputs, base_words, base_lines)
+    return reports.mapInArrow(_apply(shared, "text"), "id long, texte string")

@@ -125,6 +125,70 @@ def test_misreadings_in_long_runs_of_letters():
     assert sn.align("v" * n + "m", "y" * n + "rn") == [*["replace:v"] * n, "replace:m", "delete"]
 
 
+def repaired(token, lexicon):
+    ops = sn.edit_word(token, lexicon, sn.editor())
+    edits = {}
+    sn.Repairer._edit(edits, 0, 0, token, ops or [])
+    return edits[0][0][2] if edits else token
+
+
+def test_lost_letters_are_inserted():
+    lexicon = sn.Lexicon({"formation": 900, "organisation": 200, "participants": 500, "rare": 25, "matériel": 60}, {})
+    assert lexicon.source("formaton")[1] == ["keep"] * 5 + ["insert:i"] + ["keep"] * 2
+    assert [repaired(t, lexicon) for t in ("formaton", "organisaton", "partcipants", "matérel")] == ["formation", "organisation", "participants", "matériel"]
+    assert [repaired(t, lexicon) for t in ("ormation", "formatio", "rre", "formation", "participants")] == ["ormation", "formatio", "rre", "formation", "participants"]
+
+
+def test_predicted_operations_are_applied():
+    lexicon = sn.Lexicon({"formation": 900, "comment": 300}, {})
+
+    class Keeps:
+        def predict(self, features, allowed):
+            return "keep"
+
+    class First(Keeps):
+        def predict(self, features, allowed):
+            return list(allowed)[-1] if "c=r" in features else "keep"
+
+    assert sn.edit_word("forrnation", lexicon, Keeps()) is None
+    assert [o for o in sn.edit_word("cornment", lexicon, First()) if o != "keep"] == ["replace:m"]  # the dictionary would also delete the n
+    assert repaired("forrnation", lexicon) == "formation" and repaired("cornment", lexicon) == "comment"
+
+
+def test_skeleton_of_a_column(spark):
+    words = ["formation", "clés", "hélium", "é61l@ç0q9y5f2bvd", "", "mnhdu"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(sn.skeleton(F.col("w")).alias("s")).collect()
+    assert [r.s for r in got] == [w.translate(sn.SKELETON) for w in words]
+
+
+def test_inferred_pages():
+    lines = [x for p in range(1, 7) for x in ("Institut Zeta - bilan", "", *(f"ligne {chr(96 + k)} de la page {'abcdef'[p - 1]}" for k in range(1, 9)), f"- {p} -")]
+    pages = sn.inferred_pages(lines, [sn.line_key(x, ()) for x in lines], {})
+    assert len(pages) == 6 and all(len(p) == 11 for p in pages)
+    assert len(sn.inferred_pages(["a", "b\f", "c"], ["a", "b", "c"], {})) == 2
+    titles = [x for k in (3, 9, 4, 17, 5) for x in ("Points forts", *(f"mot {k}{i} et autre chose" for i in range(k)))]
+    assert len(sn.inferred_pages(titles, [sn.line_key(x, ()) for x in titles], {})) == 1
+
+
+def test_limits_and_missing_pages_change_nothing(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(30):
+        text, pages, _ = make_report(r, r.randint(3, 6), "Institut Zeta – Bilan", r.choice(["", "Ne pas diffuser"]), r.choice(["- @ -", "Page @ / 9"]))
+        rows.append((i, text, pages, "Institut Zeta"))
+    rows += [(60, "une organisation\nl'organisation", None, None), (61, "une organisation", None, None), (None, None, None, None), (62, rows[0][1], None, "Institut Zeta"), (62, rows[1][1], ["x"], None)]
+    df = spark.createDataFrame(rows, "i long, t string, p array<string>, o string")
+    found = lambda df, **limits: {tuple(x) for x in sn.noise_lines(df, "i", "t", "p", ("o",), **limits).collect()}
+    whole = found(df)
+    assert found(df, base_words=5, base_lines=0) == whole and found(df, base_words=60, base_lines=1) == whole
+    fixed = lambda **limits: sorted(map(str, sn.repaired_texts(df, "i", "t", "p", ("o",), **limits).collect()))
+    assert fixed(base_words=5, base_lines=0) == fixed()
+    without = found(df.withColumn("p", F.lit(None).cast("array<string>")))
+    for genre in ("entete", "page", "cesure", "erreur"):
+        a, b = {x for x in whole if x[2] == genre and x[0] < 30}, {x for x in without if x[2] == genre and x[0] < 30}
+        assert len(a & b) >= 0.9 * len(a) and len(b - a) <= 0.15 * len(a), genre
+
+
 def make_report(r, n, head, foot, number):
     clean = [s.lower() for s in sn.SENTENCES]
     pages, lines, kinds = [], [], []
