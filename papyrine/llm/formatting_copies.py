@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.textbuf import BASES, U64, column, flat, fold_tables, mix, random_values, sized_powers
+from papyrine.llm.textbuf import BASES, U64, column, flat, fold_tables, mix, random_values, sized_powers, slices
 from papyrine.worktable import worktable
 
+#: Most characters hashed at once.
+SLICE = 1 << 20
 #: Noncharacters, so never part of a text: end of an element, end of a field.
 ELEMENT, FIELD = "\ufdd0", "\ufdd1"
 #: Marks a sheet that can't be parsed; such a sheet is a copy only of one with the same characters.
@@ -122,7 +124,7 @@ def _combine(scalar: str, lists: tuple[str, ...]):
             pairs = [(i, r) for i, c in zip(column(batch, "id"), column(batch, "raw"), strict=True) if (r := record_text(c, scalar, lists)) is not None and i is not None]
             pairs.sort(key=lambda p: p[0])
             texts = [r for _, r in pairs]
-            h1, h2 = (fold_hashes(texts, w).tolist() for w in (0, 1))
+            h1, h2 = ([h for _, some in slices(texts, SLICE) for h in fold_hashes(some, w).tolist()] for w in (0, 1))
             classes: dict[tuple[int, int], list[list]] = {}
             for (i, rec), key in zip(pairs, zip(h1, h2, strict=True), strict=True):
                 for c in (held := classes.setdefault(key, [])):

@@ -70,6 +70,17 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_texts(reports, "report_id", "full_text", "pages").withColumnRenamed("id", "report_id")
 
 
+def p3_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """What the pieces of each report add up to: without their overlaps the text again, none too long, no overlap too large, and
+    each overlap the end of the piece before."""
+    pieces = p3_pieces(spark, sf)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rang", "texte", "chevauchement"))), lambda x: F.substring(x["texte"], x["chevauchement"] + 1, F.length(x["texte"]))), "")
+    listed = F.array_sort(F.collect_list(F.struct("rang", "texte", "chevauchement")))
+    follows = F.forall(F.sequence(F.lit(1), F.greatest(F.size(listed) - 1, F.lit(1))), lambda i: (i >= F.size(listed)) | F.coalesce(F.endswith(F.get(listed, i - 1)["texte"], F.left(F.get(listed, i)["texte"], F.get(listed, i)["chevauchement"])), F.lit(False)))
+    return pieces.groupBy("report_id").agg(
+        F.sha2(text, 256).alias("hash"), (F.count("*") > 1).alias("coupe"), (F.max(F.length("texte")) <= 6000).alias("assez_courts"), (F.max("chevauchement") <= 300).alias("chevauchements_bornes"), follows.alias("reprises"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """The reports that were cut. A report delivered twice is the same report, so ids are made distinct at the end."""
     pieces = splitting.split_texts(table(spark, sf, "report_text"), "report_id", "full_text", "pages")
@@ -146,7 +157,7 @@ def p9_whole_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf, whole=True)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p4_found, p4_masked, p5_found, p5_candidates, p5_unmatched, p6_found, p6_repaired, p9_mix, p9_shares, p9_whole_mix, p9_whole_shares, p8_found, p8_near, p8_items, p10_found, p10_sets, p10_spans, p10_shared_part)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p3_checked, p4_found, p4_masked, p5_found, p5_candidates, p5_unmatched, p6_found, p6_repaired, p9_mix, p9_shares, p9_whole_mix, p9_whole_shares, p8_found, p8_near, p8_items, p10_found, p10_sets, p10_spans, p10_shared_part)}
 
 
 def _folded(name: str) -> str:
@@ -164,6 +175,8 @@ ORACLES: dict[str, str] = {
     "p1_found": f"select * from ({_COPIES}) where garde_id < copie_id",
     "p1_counts": f"select garde_id, count(*) as n_exemplaires from ({_COPIES}) group by garde_id having count(*) > 1",
     "p3_found": "select distinct report_id from report_text where length(full_text) > 6000",
+    "p3_checked": """select report_id, sha256(full_text) as hash, length(full_text) > 6000 as coupe, true as assez_courts, true as chevauchements_bornes, true as reprises
+  from (select *, row_number() over (partition by report_id order by ingere_le desc nulls last) as k from report_text) where k = 1 and full_text is not null""",
     "p8_found": _LEAKS,
     "p8_items": f"select item_id, count(*) as n_documents from ({_LEAKS}) group by item_id",
     "p10_found": f"with {_WINDOWS} select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from s a join s b on a.t = b.t and a.doc_id < b.doc_id",
