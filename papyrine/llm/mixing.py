@@ -104,7 +104,8 @@ def mix_sources(df: DataFrame, targets: DataFrame, id_col: str, source_col: str,
     """(chosen, shares).
 
     ``chosen``: (doc_id, source, n_tokens, repetitions) of each document with at least one repetition.
-    ``shares``: (source, part_cible, part_atteinte, n_tokens, n_documents, n_disponibles, epoques) of each target.
+    ``shares``: (source, part_cible, part_atteinte, n_tokens, n_documents, n_disponibles, epoques, n_vises) of each target; ``n_vises``
+    are the tokens aimed at.
 
     ``targets`` has ``source``, ``part_cible``, ``repetitions_max``. By default the total is the largest at which every
     source that has tokens reaches its share; a target without documents gets 0 and the other shares keep their proportions.
@@ -151,7 +152,7 @@ def mix_sources(df: DataFrame, targets: DataFrame, id_col: str, source_col: str,
     at_edge = at_edge.select(*told, (F.col("devant") + F.col("n_tokens") / 2 <= F.col("reste")).cast("int").alias("extra"))
     chosen = ahead.unionByName(at_edge).select("doc_id", "source", "n_tokens", (F.col("epoques") + F.col("extra")).alias("repetitions")).where("repetitions > 0")
     reached = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repetitions")).alias("n_tokens"), F.count("*").alias("n_documents"))
-    shares = plan.join(reached, "source", "left").select("source", "part_cible", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), "n_disponibles", "epoques")
+    shares = plan.join(reached, "source", "left").select("source", "part_cible", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), "n_disponibles", "epoques", F.col("budget").alias("n_vises"))
     everything = Window.partitionBy()  # one row per target
     shares = shares.withColumn("part_atteinte", F.coalesce(F.col("n_tokens") / F.nullif(F.sum("n_tokens").over(everything), F.lit(0)), F.lit(0.0)))
     return chosen, shares

@@ -157,7 +157,22 @@ def p9_whole_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf, whole=True)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p3_checked, p4_found, p4_masked, p5_found, p5_candidates, p5_unmatched, p6_found, p6_repaired, p9_mix, p9_shares, p9_whole_mix, p9_whole_shares, p8_found, p8_near, p8_items, p10_found, p10_sets, p10_spans, p10_shared_part)}
+def p9_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """For each target of both mixes: the tokens reached are those aimed at, but for one document, or all there are as often as allowed;
+    no document is used more often than allowed, and none is chosen twice."""
+    caps = table(spark, sf, "cibles_sources").select("source", "repetitions_max")
+    told = []
+    for whole in (False, True):
+        chosen, shares = _mix(spark, sf, whole)
+        used = chosen.groupBy("source").agg(F.max("repetitions").alias("most"), F.max("n_tokens").alias("largest"), (F.count("*") == F.countDistinct("doc_id")).alias("once"))
+        rows = shares.join(caps, "source").join(used, "source", "left")
+        out = F.col("n_tokens") == F.col("n_disponibles") * F.col("repetitions_max")
+        near = F.abs(F.col("n_tokens") - F.col("n_vises")) <= F.coalesce("largest", F.lit(0)) + 1
+        told.append(rows.select("source", F.lit(whole).alias("entier"), (out | near).alias("tient"), F.coalesce(F.col("most") <= F.col("repetitions_max"), F.lit(True)).alias("plafond_tenu"), F.coalesce("once", F.lit(True)).alias("sans_doublon")))
+    return told[0].unionByName(told[1])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_pieces, p3_checked, p4_found, p4_masked, p5_found, p5_candidates, p5_unmatched, p6_found, p6_repaired, p9_mix, p9_shares, p9_whole_mix, p9_whole_shares, p9_checked, p8_found, p8_near, p8_items, p10_found, p10_sets, p10_spans, p10_shared_part)}
 
 
 def _folded(name: str) -> str:
@@ -177,6 +192,7 @@ ORACLES: dict[str, str] = {
     "p3_found": "select distinct report_id from report_text where length(full_text) > 6000",
     "p3_checked": """select report_id, sha256(full_text) as hash, length(full_text) > 6000 as coupe, true as assez_courts, true as chevauchements_bornes, true as reprises
   from (select *, row_number() over (partition by report_id order by ingere_le desc nulls last) as k from report_text) where k = 1 and full_text is not null""",
+    "p9_checked": "select source, entier, true as tient, true as plafond_tenu, true as sans_doublon from cibles_sources, (values (false), (true)) as t(entier)",
     "p8_found": _LEAKS,
     "p8_items": f"select item_id, count(*) as n_documents from ({_LEAKS}) group by item_id",
     "p10_found": f"with {_WINDOWS} select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from s a join s b on a.t = b.t and a.doc_id < b.doc_id",

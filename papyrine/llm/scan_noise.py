@@ -144,10 +144,14 @@ class WithExtra(Lexicon):
     """A lexicon with the few words more that one report needs."""
 
     def __init__(self, base: Lexicon, words: dict[str, int], compounds: dict[str, int]) -> None:
-        more = Lexicon(words, compounds)
+        self.more = more = Lexicon(words, compounds)
         self.words, self.compounds = ChainMap(words, base.words), ChainMap(compounds, base.compounds)
         self.alike, self.lost = _Joined(base.alike, more.alike), _Joined(base.lost, more.lost)
 
+    def concerns(self, token: str) -> bool:
+        """Whether the words more can change what is said about ``token``."""
+        return token.translate(SKELETON) in self.more.alike or token in self.more.lost
+
 
 class _Joined:
     def __init__(self, *held: dict[str, list[str]]) -> None:
@@ -675,13 +679,15 @@ class Repairer:
         told = {g: {x["mot"]: x["part"] if g == "r" else x["n"] for x in extra or () if x["genre"] == g} for g in "shr"}
         self.lexicon = WithExtra(self.base[0], told["s"], told["h"]) if extra else self.base[0]
         self.known = ChainMap(told["r"], self.base[1]) if extra else self.base[1]
-        self.memo, self.cuts = {}, {}
+        self.cuts = {}
 
     def word(self, token: str) -> list[str] | None:
+        if self.lexicon is not self.base[0] and self.lexicon.concerns(token):
+            return edit_word(token, self.lexicon, self.chars)
         if token not in self.memo:
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            self.memo[token] = edit_word(token, self.lexicon, self.chars)
+            self.memo[token] = edit_word(token, self.base[0], self.chars)
         return self.memo[token]
 
     def joins(self, left: str, hyphen: str, right: str) -> bool:
