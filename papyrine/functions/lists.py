@@ -30,14 +30,13 @@ def clean_comment(text: Column) -> Column:
 
 
 def dedup_ignoring_case(items: Column) -> Column:
-    """First spelling of each comment, in order."""
-    none = F.array().cast("array<string>")
+    """First spelling of each comment, in order. By sorting, so a long list costs little more than its length."""
 
-    def add(kept: Column, x: Column) -> Column:
-        new = F.struct(F.array_append(kept["seen"], F.lower(x)).alias("seen"), F.array_append(kept["out"], x).alias("out"))
-        return F.when(F.array_contains(kept["seen"], F.lower(x)), kept).otherwise(new)
+    def firsts(s: Column) -> Column:
+        new = F.filter(s, lambda e, k: (k == 0) | (F.get(s, k - 1)["low"] != e["low"]))
+        return F.transform(F.array_sort(F.transform(new, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
 
-    return F.aggregate(items, F.struct(none.alias("seen"), none.alias("out")), add, lambda kept: kept["out"])
+    return let(F.array_sort(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x")))), firsts)
 
 
 def clean_list(items: Column) -> Column:

@@ -59,8 +59,13 @@ def repeated_lines(df: DataFrame, doc: str, line: str, least: int) -> DataFrame:
     return df.groupBy(line).agg(F.countDistinct(doc).alias("n")).where(F.col("n") >= least).select(line)
 
 
-def without_repeated(df: DataFrame, doc: str, line: str, least: int) -> DataFrame:
-    return df.join(repeated_lines(df, doc, line, least), line, "left_anti")
+def without_repeated(df: DataFrame, doc: str, line: str, least: int, salts: int = 16) -> DataFrame:
+    """``df`` without the lines that stand in at least ``least`` documents. A line may be most of all lines, so both sides are salted."""
+    salt = "_salt"
+    while salt in df.columns:
+        salt += "_"
+    known = repeated_lines(df, doc, line, least).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn(salt, F.pmod(F.xxhash64(doc), F.lit(salts)).cast("int")).join(known, [line, salt], "left_anti").select(df.columns)
 
 
 def islands(df: DataFrame, doc: list[str], pos: str, group: Column, text: str, glue: str = " ") -> DataFrame:
