@@ -96,7 +96,12 @@ def legacy_to_current(df: DataFrame, raw: str) -> DataFrame:
     Of a record in either layout satisfaction labels become the canonical ones, missing percentages are filled from votes
     and the version is stamped. Null raw and a text that is no JSON object give null.
     """
-    r = F.when(F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(raw))), F.lit("")).startswith("OBJECT"), F.col(raw))
+    held = "_r"
+    while held in df.columns:
+        held += "_"
+    # a projection of its own: the check is made once, however often the text is read below
+    df = df.withColumn(held, F.when(F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(raw))), F.lit("")).startswith("OBJECT"), F.col(raw)))
+    r = F.col(held)
     told = truthy_coalesce(_TEXT, *(F.nullif(_get(r, f"$.pre_formation.souhaitez_vous_suivre.{k}"), F.lit("0")) for k in ("voters_total", "votants")))
     voters = parse_float(told)
     pick = lambda *paths: truthy_coalesce(_TEXT, *(_get(r, p) for p in paths))
@@ -148,7 +153,7 @@ def legacy_to_current(df: DataFrame, raw: str) -> DataFrame:
     both = let(F.struct(labelled.alias("t"), F.when(lacks, filled_percentages(levels, total)).alias("f")), lambda x: F.when(x["f"].isNull(), x["t"]).otherwise(_with(x["t"], "pre_formation", _with(_get(x["t"], "$.pre_formation"), "souhaitez_vous_suivre_distribution", x["f"]))))
     stamped = _with(F.coalesce(both, r), "version_prompt", F.lit('"v2.1"'))
     current = is_current(r)
-    return df.withColumn("etait_v2", current).withColumn("v2", F.when(r.isNotNull(), F.when(current, stamped).otherwise(F.to_json(mapped))))
+    return df.withColumn("etait_v2", current).withColumn("v2", F.when(r.isNotNull(), F.when(F.col("etait_v2"), stamped).otherwise(F.to_json(mapped)))).drop(held)
 
 
 def with_identity(raw: Column, name: Column, term: Column, link: Column) -> Column:
