@@ -13,7 +13,7 @@ from papyrine.functions import lists, scalar as fx
 from papyrine.operators import indicators as ind
 from papyrine.operators import narrative, records, text_blocks as tb
 from papyrine.operators.dedup import latest_by_key
-from papyrine.plans.report_row import META, report_rows, trainer_comment
+from papyrine.plans.report_row import report_rows, trainer_comment
 from papyrine.schema import LABELS, OUTPUT_COLUMNS
 
 QUERIES: dict = {}
@@ -553,11 +553,14 @@ def q38_output_row(spark: SparkSession, sf: str) -> DataFrame:
     return report_rows(latest_by_key(table(spark, sf, "payload_v2").select(*columns), ["payload_id"], ["ingere_le"]), "none", ["payload_id"])
 
 
+META = {"auteur": "papyrine", "mode": "rédaction harmonisée"}
+
+
 @query(f"{_WITH_LEVELS}, v as ({_WILLING_SQL}) select payload_id, volonte as \"Volonté de suivre cette session\", '{META['auteur']}' as auteur, '{META['mode']}' as mode from p join v using (payload_id)")
 def q38b_meta(spark: SparkSession, sf: str) -> DataFrame:
     """Who made an output row and how, beside a column of it."""
     columns = ["payload_id", "ingere_le", "nom_formation", "semestre", "pre_formation", "a_chaud", "a_froid", "intervenants", "resultats_evaluations"]
-    rows = report_rows(latest_by_key(table(spark, sf, "payload_v2").select(*columns), ["payload_id"], ["ingere_le"]), "none", ["payload_id"], meta=True)
+    rows = report_rows(latest_by_key(table(spark, sf, "payload_v2").select(*columns), ["payload_id"], ["ingere_le"]), "none", ["payload_id"], meta=META)
     return rows.select("payload_id", "Volonté de suivre cette session", "meta_generation.*")
 
 

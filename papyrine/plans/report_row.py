@@ -10,10 +10,6 @@ from papyrine.operators import indicators as ind
 from papyrine.operators.narrative import NO_DATA, NO_REMARK, summary
 
 
-#: Who made the row and how.
-META = {"auteur": "IA pro CESU", "mode": "rédaction médicale harmonisée"}
-
-
 def _note_or(*values: Column) -> Column:
     return F.coalesce(*values, F.lit(NO_DATA))
 
@@ -24,8 +20,8 @@ def trainer_comment(inter: Column) -> Column:
     return fx.strip(F.concat(fx.norm(parts[0]), F.lit(" "), fx.norm(parts[1]), F.lit(" "), fx.norm(parts[2])))
 
 
-def report_rows(df: DataFrame, provider: str = "none", key: list[str] | None = None, meta: bool = False) -> DataFrame:
-    """The 22 columns, with ``meta`` also the struct ``meta_generation``, of each payload (columns nom_formation, semestre, pre_formation, a_chaud, a_froid, intervenants,
+def report_rows(df: DataFrame, provider: str = "none", key: list[str] | None = None, meta: dict[str, str] | None = None) -> DataFrame:
+    """The 22 columns, with ``meta`` (who made the row and how: ``auteur``, ``mode``) also the struct ``meta_generation`` of it, of each payload (columns nom_formation, semestre, pre_formation, a_chaud, a_froid, intervenants,
     resultats_evaluations), after the ``key`` columns. Null sections give the fixed sentences."""
     pre, hot, cold, inter = (F.col(c) for c in ("pre_formation", "a_chaud", "a_froid", "intervenants"))
     text = {
@@ -55,5 +51,5 @@ def report_rows(df: DataFrame, provider: str = "none", key: list[str] | None = N
         "Synthese": F.lit(""), "Lien du rapport qualité": F.lit(""), "Actions correctrices": F.lit(""),
     }
     if meta:
-        columns["meta_generation"] = F.struct(*(F.lit(v).alias(k) for k, v in META.items()))
+        columns["meta_generation"] = F.struct(*(F.lit(v).alias(k) for k, v in meta.items()))
     return df.select(*(key or []), *(v.alias(k) for k, v in columns.items()))
