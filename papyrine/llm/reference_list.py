@@ -1,18 +1,24 @@
 """Problem 5: typed values mapped to the entries of a reference list.
 
-The list becomes a trie of spellings: full title, title without little words, acronym, inflected forms. A value walks
-it with a Levenshtein automaton (its states are the rows of the edit-distance table, one per trie node, with
-neighbour swaps as one edit and a shortened word ``abc.`` as a free ending), which returns every entry within a distance that
-depends on the value's length. Levels (niveau 2, perfectionnement) are no matter of spelling distance: they must agree.
+The list becomes tries of spellings: title without its level, whole title, both without little words, acronym, inflected forms.
+A value walks them with a Levenshtein automaton (its states are the rows of the edit-distance table, one per trie node, of
+which only the cells within the distance are kept, with neighbour swaps as one edit and a shortened word ``abc.`` as a free ending),
+which returns every entry within a distance that depends on the value's length. All of them are candidates; which one is meant
+is then told by rules: an exact spelling comes first, levels (niveau 2, perfectionnement) are no matter of spelling distance but
+must agree, and the contrary of an entry is no misspelling of it.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,8 +61,11 @@ def plain(text: str) -> str:
 
 def edits(a: str, b: str, most: int) -> int:
     """Edit distance with swaps of neighbours, or ``most + 1`` where it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
+    return most + 1 if abs(len(a) - len(b)) > most else _edits(a, b)
+
+
+@lru_cache(MEMO)
+def _edits(a: str, b: str) -> int:
     two, one = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -82,21 +91,20 @@ def near_word(token: str, word: str) -> bool:
     return edits(token.rstrip(REST), word, allowed(len(word))) <= allowed(len(word))
 
 
-def without_frame(words: list[str]) -> list[str]:
-    """The words without what may stand before or behind a title, misspelled or not; one word is always left."""
-    words = list(words)
-    while len(words) > 1:
-        if SEMESTER.fullmatch(" ".join(words[-2:])) and len(words) > 2:
-            del words[-2:]
-            continue
-        cut = next((n + 1 for w, n in BEHIND if len(words) > n + 1 and near_word(words[-n - 1], w)), 0)
-        if cut:
-            del words[-cut:]
-        elif any(near_word(words[0], b) for b in BEFORE):
-            del words[0]
-        else:
-            break
-    return words
+def without_frame(words: list[str], most: float) -> list[list[str]]:
+    """The words, and what is left of them without all or part of what may stand before or behind a title, misspelled or not; one
+    word is always left. What has more than ``most`` letters beside little words is left out."""
+    size = list(accumulate((0 if w in LITTLE else len(w) - w.count(REST) for w in words), initial=0))
+    begin, ends, seen = 0, [len(words)], {len(words)}
+    while begin + 1 < len(words) and any(near_word(words[begin], b) for b in BEFORE):
+        begin += 1
+    for end in ends:
+        shorter = [end - n - 1 for w, n in BEHIND if end > n + 1 and near_word(words[end - n - 1], w)]
+        if end > 2 and SEMESTER.fullmatch(" ".join(words[end - 2 : end])):
+            shorter.append(end - 2)
+        ends.extend(e for e in dict.fromkeys(shorter) if e not in seen)
+        seen.update(shorter)
+    return [words[i:j] for j in ends for i in range(bisect_left(size, size[j] - most), min(begin + 1, j))]
 
 
 def split_level(tokens: list[str]) -> tuple[list[str], set[str]]:
@@ -123,8 +131,91 @@ def split_level(tokens: list[str]) -> tuple[list[str], set[str]]:
 @dataclass(slots=True)
 class TrieNode:
     children: dict[str, "TrieNode"] = field(default_factory=dict)
-    #: Titles (families of entries that differ by level only) that end here.
+    #: What ends here: titles (families of entries that differ by level only), or entries.
     ends: set[int] = field(default_factory=set)
+    #: Lengths of the paths through here.
+    shortest: int = 0
+    longest: float = math.inf
+
+    def add(self, path: str, end: int) -> None:
+        node, n = self, len(path)
+        for c in path:
+            child = node.children.get(c)
+            if child is None:
+                child = node.children[c] = TrieNode(shortest=n, longest=n)
+            child.shortest, child.longest = min(child.shortest, n), max(child.longest, n)
+            node = child
+        node.ends.add(end)
+
+
+def walk(root: TrieNode, query: str, most: int) -> dict[int, int]:
+    """Distance of what ends in a trie within ``most`` edits of ``query``. A row holds the cells within ``most`` by their place; all
+    others, and paths too short or too long, can't lead to an end within it."""
+    m, far, found = len(query), most + 1, {}
+    free = query.count(REST)
+    least, largest = m - free - most, math.inf if free else m + most
+    first, d = {0: 0}, 0
+    for j in range(1, m + 1):
+        d += query[j - 1] != REST
+        if d > most:
+            break
+        first[j] = d
+    stack = [(root, "", {}, first)]
+    while stack:
+        node, last, two, one = stack.pop()
+        if m in one:
+            for k in node.ends:
+                found[k] = min(found.get(k, most), one[m])
+        if not free and min(one.values()) == most:
+            # no edit is left: only the next characters, or the end of a swap, go on
+            rows: dict[str, dict[int, int]] = {}
+            for j in one:
+                if j < m:
+                    rows.setdefault(query[j], {})[j + 1] = most
+            for j, d in two.items():
+                if j + 1 < m and d < most and query[j + 1] == last:
+                    rows.setdefault(query[j], {})[j + 2] = most
+            for c, row in rows.items():
+                child = node.children.get(c)
+                if child is not None and child.longest >= least and child.shortest <= largest:
+                    stack.append((child, c, one, row))
+            continue
+        low, high = min(one), min(max(one) + 2, m)
+        for c, child in node.children.items():
+            if child.longest < least or child.shortest > largest:
+                continue
+            row, d, j = {}, far, low
+            while j <= high or d < far and j <= m:
+                up = one.get(j, far)
+                q = query[j - 1] if j else ""
+                if q == REST:
+                    up += c == " "
+                    if up < d:
+                        d = up
+                else:
+                    d = (up if up < d else d) + 1
+                    if j:
+                        over = one.get(j - 1, far) + (q != c)
+                        if over < d:
+                            d = over
+                        if j > 1 and q == last and query[j - 2] == c and two.get(j - 2, far) + 1 < d:
+                            d = two[j - 2] + 1
+                if d < far:
+                    row[j] = d
+                else:
+                    d = far
+                j += 1
+            if row:
+                stack.append((child, c, one, row))
+    return found
+
+
+def without_little(words: list[str]) -> str:
+    return " ".join(w for w in words if w not in LITTLE)
+
+
+def letters(text: str) -> str:
+    return "".join(filter(str.isalnum, text))
 
 
 class ReferenceTrie:
@@ -132,6 +223,8 @@ class ReferenceTrie:
 
     def __init__(self, entries: list[tuple[int, str, str | None]], leveled: bool) -> None:
         self.root, self.leveled = TrieNode(), leveled
+        #: Entries by whole title, level and all, and by acronym.
+        self.titles, self.acronyms = TrieNode(), TrieNode()
         self.families: dict[str, int] = {}
         self.stems: list[str] = []
         self.members: list[dict[frozenset, set[int]]] = []
@@ -140,6 +233,8 @@ class ReferenceTrie:
         self.spelled: dict[str, set[int]] = {}
         self.words: set[str] = set()
         self.longest = 0
+        #: Answers of :meth:`search`.
+        self.known: dict[tuple[str, int], dict[int, int]] = {}
         for ref, title, acronym in entries:
             words, levels = self.parse(title)
             stem = " ".join(words)
@@ -148,16 +243,19 @@ class ReferenceTrie:
                 self.members.append({})
                 self.stems.append(stem)
             self.members[k].setdefault(frozenset(levels), set()).add(ref)
-            for path in {stem, " ".join(w for w in words if w not in LITTLE) or stem, *(() if leveled else self.inflected(stem))}:
-                node = self.root
-                for c in path:
-                    node = node.children.setdefault(c, TrieNode())
-                node.ends.add(k)
-                self.spelled.setdefault(path, set()).add(k)
+            for path in {stem, without_little(words) or stem, *(() if leveled else self.inflected(stem))}:
+                self.root.add(path, k)
                 self.longest = max(self.longest, len(path))
+                self.spelled.setdefault(path, set()).add(k)
                 self.words.update(path.split())
-            if acronym:
-                self.short.setdefault("".join(filter(str.isalnum, plain(acronym))), set()).add(ref)
+            whole = plain(title)
+            for path in {p for t in (whole, whole.replace(REST, "")) for p in (t, without_little(t.split()))} - {""}:
+                self.titles.add(path, ref)
+                self.longest = max(self.longest, len(path))
+            if acronym and (path := letters(plain(acronym))):
+                self.short.setdefault(path, set()).add(ref)
+                self.acronyms.add(path, ref)
+                self.longest = max(self.longest, len(path))
 
     @staticmethod
     def inflected(stem: str) -> tuple[str, ...]:
@@ -177,66 +275,61 @@ class ReferenceTrie:
             return [value]
         return [value, *(value[: m.start()] + m[i] + value[m.end() :] for i in (1, 2))]
 
+    def parts(self, words: list[str]) -> list[list[str]]:
+        """The value without all or part of its frame, as far as it isn't longer than any spelling with a word before it."""
+        return without_frame(words, self.longest + max(map(len, BEFORE)) + allowed(99))
+
     def variants(self, words: list[str]) -> set[str]:
-        """The value as typed, without its frame, and without little words."""
-        out = set()
-        for form in (words, without_frame(words)):
-            out.add(" ".join(form))
-            out.add(" ".join(w for w in form if w not in LITTLE))
-        return out - {""}
+        """The value as typed, without all or part of its frame, and without little words."""
+        return {form for part in self.parts(words) for form in (" ".join(part), without_little(part))} - {""}
 
     def search(self, query: str, most: int) -> dict[int, int]:
         """Distance of each title within ``most`` edits of ``query``."""
-        m, found = len(query), {}
-        if m - query.count(REST) > self.longest + most:
-            return found
-        first = [0] * (m + 1)
-        for j in range(1, m + 1):
-            first[j] = first[j - 1] + (query[j - 1] != REST)
-        stack = [(self.root, "", None, first)]
-        while stack:
-            node, last, two, one = stack.pop()
-            if one[m] <= most:
-                for k in node.ends:
-                    found[k] = min(found.get(k, most), one[m])
-            for c, child in node.children.items():
-                row = [one[0] + 1]
-                for j in range(1, m + 1):
-                    q = query[j - 1]
-                    if q == REST:
-                        d = min(row[-1], one[j] + (0 if c != " " else 1))
-                    else:
-                        d = min(one[j] + 1, row[-1] + 1, one[j - 1] + (q != c))
-                        if two is not None and j > 1 and q == last and query[j - 2] == c:
-                            d = min(d, two[j - 2] + 1)
-                    row.append(d)
-                if min(row) <= most:
-                    stack.append((child, c, one, row))
-        return found
+        key = (query, most)
+        if key not in self.known:
+            if len(self.known) > MEMO:
+                self.known.clear()
+            self.known[key] = walk(self.root, query, most)
+        return self.known[key]
+
+    def entries_near(self, value: str) -> dict[int, int]:
+        """Distance of each entry whose whole title, or acronym, is within the distance of the value."""
+        near: dict[int, int] = {}
+        words = plain(value).split()
+        compact = {letters("".join(part)) for part in self.parts(words)}
+        compact |= {c.removeprefix(b) for c in compact for b in BEFORE}
+        asked = [(self.titles, form) for form in self.variants(words)] + [(self.acronyms, form) for form in compact - {""}]
+        for root, form in asked:
+            for ref, d in walk(root, form, allowed(len(form))).items():
+                near[ref] = min(near.get(ref, 99), d)
+        return near
 
     def facts(self, value: str) -> dict:
         """What these entries (all of a list, or a part of it) say about a value, to be put together by :func:`resolve`.
 
-        ``sigles``: entries with this acronym, as typed and without a word before it. ``choix``: for each choice, the words that begin with "in" that are words of
+        ``sigles``: entries with this acronym, as typed and without a word before it. ``entrees``: entries near by whole title
+        or acronym, with their distance. ``choix``: for each choice, the words that begin with "in" that are words of
         the list, those that are one without it, and by title its distance, whether it is spelled exactly so, and its
         entries by level.
         """
-        compact = "".join(filter(str.isalnum, plain(value)))
+        compact = letters(plain(value))
         keys = (compact, *(compact.removeprefix(b) for b in BEFORE))
-        told = []
+        told, whole = [], {}
         for choice in self.choices(value):
-            words, _ = self.parse(choice)
-            forms = self.variants(words)
+            words, levels = self.parse(choice)
+            # a title that is a level and nothing else has no other words
+            forms = self.variants(words) if words or not levels else {""}
             exact = {k for f in forms for k in self.spelled.get(f, ())}
             near = dict.fromkeys(exact, 0)
-            if not exact:
-                for form in forms:
-                    for k, d in self.search(form, allowed(len(form))).items():
-                        near[k] = min(near.get(k, 99), d)
+            for form in forms:
+                for k, d in self.search(form, allowed(len(form))).items():
+                    near[k] = min(near.get(k, 99), d)
             begin = [w for w in words if w.startswith("in")]
             titles = {self.stems[k]: [d, k in exact, {LEVELS_GLUE.join(sorted(x)): sorted(refs) for x, refs in self.members[k].items()}] for k, d in near.items()}
             told.append([[w for w in begin if w in self.words], [w for w in begin if w[2:] in self.words], titles])
-        return {"sigles": [sorted(self.short.get(key, ())) for key in keys], "choix": told}
+            for ref, d in self.entries_near(choice).items():
+                whole[ref] = min(whole.get(ref, 99), d)
+        return {"sigles": [sorted(self.short.get(key, ())) for key in keys], "entrees": sorted(whole.items()), "choix": told}
 
     def levels(self, value: str) -> set[str]:
         return self.parse(self.choices(value)[-1])[1]
@@ -254,18 +347,23 @@ def resolve(levels: set[str], parts: list[dict]) -> tuple[int, int, int, list[tu
     parts of a list say about a value. The answer doesn't depend on how the list is parted."""
     best: dict[str, int] = {}
     members: dict[str, dict[str, set[int]]] = {}
+    every: dict[int, int] = {}
+    wanted = LEVELS_GLUE.join(sorted(levels))
+    for ref, d in (x for p in parts for x in p["entrees"]):
+        every[ref] = min(every.get(ref, 99), d)
     for told in zip(*(p["choix"] for p in parts), strict=True):
         known = {w for t in told for w in t[0]}
-        if {w for t in told for w in t[1]} - known:
-            continue  # the contrary of an entry is no misspelling of it
+        contrary = bool({w for t in told for w in t[1]} - known)  # the contrary of an entry is no misspelling of it
         any_exact = any(exact for t in told for _, exact, _ in t[2].values())
         for t in told:
             for stem, (d, exact, held) in t[2].items():
-                if exact or not any_exact:
+                for level, refs in held.items():
+                    if not levels or level == wanted:
+                        every.update((ref, min(every.get(ref, 99), d)) for ref in refs)
+                if not contrary and (exact or not any_exact):
                     best[stem] = min(best.get(stem, 99), d)
                     for level, refs in held.items():
                         members.setdefault(stem, {}).setdefault(level, set()).update(refs)
-    wanted = LEVELS_GLUE.join(sorted(levels))
     near: dict[int, int] = {}
     for stem, d in best.items():
         held = members[stem]
@@ -275,8 +373,7 @@ def resolve(levels: set[str], parts: list[dict]) -> tuple[int, int, int, list[tu
     least = min(best.values(), default=99)
     short = next((x for x in ({ref for part in same for ref in part} for same in zip(*(p["sigles"] for p in parts), strict=True)) if x), set())
     first = short or {ref for ref, d in near.items() if d == least}
-    every = sorted((near | dict.fromkeys(short, 0)).items())
-    return (0 if short else least, len(first), min(first), every) if first else (99, 0, 0, every)
+    return (0 if short else least, len(first), min(first), sorted(every.items())) if first else (99, 0, 0, sorted(every.items()))
 
 
 NEAR = pa.list_(pa.struct([("ref_id", pa.int32()), ("distance", pa.int32())]))
@@ -365,7 +462,8 @@ def map_to_reference(values: DataFrame, reference: DataFrame, leveled: tuple[str
 
     ``ref_id`` is the one entry of the same ``champ`` nearest to the value, or 0 where none is near enough or several
     are equally near (a title without its level suits all its levels). ``candidats`` are all entries within the distance
-    the value's length allows, with their distances. Null and blank values give no row; a field
+    the value's length allows, with their distances, whatever the rules for ``ref_id`` say of them: those beside an exact spelling,
+    contraries, and other levels where the whole titles are that near. Null and blank values give no row; a field
     without entries gives 0. ``reference`` has ref_id, champ, libelle, sigle; entries with a null title are left out.
     Rows that come twice are answered twice. A list of up to ``ENTRIES_A_PASS`` entries goes to the tasks, without a shuffle;
     a longer one is taken part by part, with the same answers.

@@ -227,3 +227,96 @@ def test_parts_of_a_list_answer_as_the_whole(spark, monkeypatch, limit):
     assert len(whole) == len(values) and {r[2] for r in whole if r[0] == 0} == {20} and {r[2] for r in whole if r[0] == 3} == {24}
     monkeypatch.setattr(rl, "ENTRIES_A_PASS", limit)
     assert told() == whole
+
+
+NEAR_TITLES = [
+    (41, "nom_formation", "Lecture de plans - niveau 1", "LPTEC 1"), (42, "nom_formation", "Lecture de plans - niveau 2", "LPTEC 2"), (43, "nom_formation", "Lecture de plan - niveau 2", None),
+    (44, "nom_formation", "Formation de formateurs - niveau 1", None), (45, "nom_formation", "Perfectionnement", None), (46, "nom_formation", "Gestion intra", None), (47, "nom_formation", "Gestion", None), (48, "nom_formation", "Gestion - niveau 3", None),
+    (51, "label", "Très satisfait(e)", None), (52, "label", "Trop satisfait(e)", None), (53, "label", "Complet", None), (54, "label", "Complets", None),
+]
+
+
+@pytest.mark.parametrize(
+    ("champ", "valeur", "ref", "near"),
+    [
+        ("nom_formation", "Lecture de plans - niveau 2", 42, {42: 0, 43: 1, 41: 1}), ("nom_formation", "Niv. 2 : lecture de plans", 42, {42: 0, 43: 1}), ("nom_formation", "lptec2", 42, {42: 0, 41: 1}), ("nom_formation", "LPTEC 2 (groupe A)", 0, {42: 0, 41: 1}),
+        ("nom_formation", "Formation de formateurs niveau 1 (groupe A)", 44, {44: 0}), ("nom_formation", "perfectionement", 45, {45: 0}), ("nom_formation", "...", 0, {}), ("nom_formation", "Stage gestion intra", 0, {46: 0, 47: 0, 48: 0}), ("nom_formation", "Gestion", 47, {47: 0, 48: 0}),
+        ("label", "Très satisfait(e)", 51, {51: 0, 52: 2}), ("label", "Très insatisfait(e)", 0, {51: 2}), ("label", "complet", 53, {53: 0, 54: 1}), ("label", "Complett", 0, {53: 1, 54: 1}),
+    ],
+)
+def test_every_entry_within_the_distance_is_a_candidate(champ, valeur, ref, near):
+    trie = rl.ReferenceTrie([(i, t, a) for i, c, t, a in NEAR_TITLES if c == champ], champ == "nom_formation")
+    _, n, first, every = rl.resolve(trie.levels(valeur), [trie.facts(valeur)])
+    assert dict(every) == near
+    assert (first if n == 1 else 0) == ref
+
+
+@pytest.mark.parametrize("leveled", [True, False])
+def test_candidates_hold_all_that_brute_force_finds(leveled):
+    r = random.Random(8)
+    words = ["plans", "plan", "niveau 1", "niveau 2", "initiation", "de", "formation", "intra", "satisfait", "insatisfait", "lot", "lots", "lit", "niveau 3", "session 2"]
+    titles = sorted({" ".join(r.choices(words, k=r.randint(1, 2))) for _ in range(400)})
+    trie = rl.ReferenceTrie([(i, t, None) for i, t in enumerate(titles)], leveled)
+    missed, seen = [], 0
+    for _ in range(150):
+        value = list(r.choice(titles))
+        for _ in range(r.randint(0, 2)):
+            k = r.randrange(len(value))
+            value[k : k + r.randint(0, 1)] = r.choice(["", "a", "s", " "])
+        typed = rl.plain("".join(value))
+        most = rl.allowed(len(typed))
+        every = dict(rl.resolve(trie.levels(typed), [trie.facts(typed)])[3])
+        within = {i: d for i, t in enumerate(titles) if (d := rl.edits(typed, t, most)) <= most}
+        seen += len(within)
+        missed += [(typed, titles[i]) for i, d in within.items() if every.get(i, 99) > d]
+    assert not missed and seen > 200
+
+
+def brute_walk(paths, query, most):
+    """Distances by whole rows, a shortened word's end free."""
+    found = {}
+    for k, path in enumerate(paths):
+        rows = [[sum(q != rl.REST for q in query[:j]) for j in range(len(query) + 1)]]
+        for i, c in enumerate(path, 1):
+            row = [i]
+            for j, q in enumerate(query, 1):
+                d = min(row[-1], rows[-1][j] + (c == " ")) if q == rl.REST else min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (q != c))
+                if q != rl.REST and i > 1 and j > 1 and q == path[i - 2] and query[j - 2] == c:
+                    d = min(d, rows[-2][j - 2] + 1)
+                row.append(d)
+            rows.append(row)
+        if rows[-1][-1] <= most:
+            found[k] = rows[-1][-1]
+    return found
+
+
+@pytest.mark.parametrize("letters", ["ab ", "abc* "])
+def test_walk_equals_whole_rows(letters):
+    r = random.Random(9)
+    paths = sorted({"".join(r.choices("abc ", k=r.randint(1, 9))) for _ in range(200)})
+    root = rl.TrieNode()
+    for k, path in enumerate(paths):
+        root.add(path, k)
+    for most in (0, 1, 2):
+        for _ in range(60):
+            query = "".join(r.choices(letters, k=r.randint(0, 9)))
+            assert rl.walk(root, query, most) == brute_walk(paths, query, most)
+
+
+def test_a_long_value_of_frames_only_ends():
+    trie = rl.ReferenceTrie([(1, "Soins du jardin - niveau 1", "SJ 1")], True)
+    for value in ("stage " * 8000 + "intra " * 8000, "groupe a " * 8000, "stage a " * 8000):
+        assert trie.match(value) == (99, 0, 0)
+
+
+@pytest.mark.parametrize("limit", [1, 3])
+def test_parts_give_the_same_candidates(spark, monkeypatch, limit):
+    typed = ["Lecture de plans - niveau 2", "lptec2", "Formation de formateurs niveau 1 (groupe A)", "Perfectionnement", "Gestion", "Stage gestion intra"]
+    values = [(i, c, 0, v) for i, (c, v) in enumerate([("nom_formation", t) for t in typed] + [("label", t) for t in ("Très satisfait(e)", "Très insatisfait(e)", "complet")])]
+    df = spark.createDataFrame(values, "payload_id long, champ string, rang int, valeur string")
+    ref = spark.createDataFrame(NEAR_TITLES, "ref_id int, champ string, libelle string, sigle string")
+    told = lambda: sorted((r.payload_id, r.ref_id, tuple(map(tuple, r.candidats))) for r in rl.map_to_reference(df, ref).collect())
+    whole = told()
+    assert [len(r[2]) for r in whole] == [3, 2, 1, 1, 2, 3, 2, 1, 2] and whole[6] == (6, 51, ((51, 0), (52, 2)))
+    monkeypatch.setattr(rl, "ENTRIES_A_PASS", limit)
+    assert told() == whole
